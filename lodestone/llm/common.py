@@ -57,3 +57,10 @@ def texts(batch, column: str = "text") -> Iterator[str]:
     """The column's values as Python strings, null as an empty one."""
     for value in batch.column(column).to_pylist():
         yield value or ""
+
+
+def parts(batches: Iterator, rows: int = 256) -> Iterator:
+    """The batches in slices of a few rows, so that a worker holds few values as Python objects."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
