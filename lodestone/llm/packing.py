@@ -15,6 +15,7 @@ an empty result; further columns are not read.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,24 +29,48 @@ from lodestone.llm.common import pick, texts
 
 #: Sequences of one task are numbered from its partition's number times this.
 PER_TASK = 1 << 40
-#: Ids of so many distinct words are kept per Python worker.
+#: Ids of so many distinct words are kept per Python worker, and of as many before them.
 REMEMBERED = 300_000
+#: Marks that the tokenizer parts from the letters before them.
+MARKS = ".,!?;:%$#&*()-"
+#: The characters by which byte-level vocabularies stand for bytes: printable ones for themselves, the others from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*PRINTABLE}))}
 
 
 class Words(dict):
-    """Packed ids of a word between blanks, by the tokenizer; white space separates and is dropped."""
+    """Packed ids of a word between blanks, by the tokenizer; white space separates and is dropped.
+
+    Letters of one byte's code points are parted here from marks after them and written small, as the
+    tokenizer would, so that a word with and without them is merged once; all else goes through the
+    whole tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.merged(word)
         if len(word) <= 64:
+            if len(self) >= REMEMBERED:
+                self.before = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
+    def merged(self, word: str) -> bytes:
+        stem = word.rstrip(MARKS)
+        if not stem.isalpha() or max(stem) > "\xff":
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        small = stem.lower()
+        if small != word:
+            return self[small] + (self[word[len(stem) :]] if len(stem) < len(word) else b"")
+        chars = small if small.isascii() else "".join(map(BYTE_CHARS.__getitem__, small.encode()))
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(chars)]).tobytes()
+
     def ids(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
