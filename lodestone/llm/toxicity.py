@@ -38,6 +38,8 @@ WORD = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6)
 #: A feature speaks for toxicity from this log-likelihood ratio (chi-square with one degree, p about 1e-5).
 EVIDENCE = 20.0
+#: A weight is at least this share of its feature's log odds.
+FLOOR = 0.2
 #: A word's features are kept for so many distinct words per task.
 REMEMBERED = 300_000
 OUTPUT = {"severity": T.DoubleType(), "grade": T.IntegerType(), "toxic": T.BooleanType()}
@@ -131,13 +133,19 @@ def telling_features(sample: DataFrame, features: int, least: int) -> list[tuple
     return [(r.feature, r.odds) for r in best.orderBy(F.desc("g2"), "feature").limit(features).collect()]
 
 
-def fit_thresholds(rows: list[list[int]], grades: np.ndarray, size: int, top: int, rounds: int, ridge: float) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by Adam on the mean cumulative-link loss; thresholds stay in order."""
+def fit_thresholds(rows: list[list[int]], grades: np.ndarray, least: np.ndarray, top: int, rounds: int, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by Adam on the mean cumulative-link loss.
+
+    Thresholds stay in order, and weights at or above ``least``: every feature was chosen because it
+    speaks for toxicity, and must not lose that for being mild, or needless beside others, among the
+    toxic texts of the sample.
+    """
+    size = len(least)
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     which = np.array([f for r in rows for f in r], dtype=np.int64)
     above = (grades[:, None] > np.arange(top)[None, :]).astype(float)
     share = np.clip(above.mean(axis=0), 1e-4, 1 - 1e-4)
-    p = np.concatenate([np.zeros(size), np.log((1 - share) / share)])
+    p = np.concatenate([least, np.log((1 - share) / share)])
     m, v = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, rounds + 1):
         w, theta = p[:size], p[size:]
@@ -146,6 +154,7 @@ def fit_thresholds(rows: list[list[int]], grades: np.ndarray, size: int, top: in
         g = np.concatenate([np.bincount(which, weights=off.sum(axis=1)[at], minlength=size) / len(rows) + ridge * w, -off.mean(axis=0)])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        p[:size] = np.maximum(p[:size], least)
         p[size:] = np.maximum.accumulate(p[size:])
     return p[:size], p[size:]
 
@@ -177,7 +186,7 @@ def fit(
     mass = np.array([r.mass for r in rows])
     cuts = np.quantile(mass[bad > 0], [j / grades for j in range(1, grades)])
     severity = bad * (1 + np.searchsorted(cuts, mass, side="right"))
-    weights, thresholds = fit_thresholds([list(r.found) for r in rows], severity, len(best), grades, rounds, ridge)
+    weights, thresholds = fit_thresholds([list(r.found) for r in rows], severity, FLOOR * np.array([o for _, o in best]), grades, rounds, ridge)
     return Model({f: round(float(weights[i]), 6) for f, i in number.items()}, [round(float(t), 6) for t in thresholds])
 
 
