@@ -9,8 +9,9 @@
    the links that join components.
 4. Components of all links; a document's component is the least doc_id in it.
 
-With 48 bands of 5 coordinates a pair at similarity 0.8 shares no bucket with a probability of 5e-9.
-Sets are compared by 64-bit hashes of their shingles.
+Nodes that share fewer than ``SHARED`` buckets are alone.  With 64 bands of 6 coordinates a pair at
+similarity 0.8 shares fewer than two with a probability of 9e-8, and at 0.85 of 4e-12.  Sets are
+compared by 64-bit hashes of their shingles.
 
 Edge cases: null, empty and blank texts have no shingles and link with nothing; texts of any length are
 compared whole; a text shorter than a shingle is one shingle; documents with equal sets are linked;
@@ -32,7 +33,9 @@ from lodestone.llm.common import cut, parts, pick, texts
 from lodestone.llm.components import components
 from lodestone.llm.minhash import band_keys, fingerprint, shingles, signature
 
-BANDS, ROWS = 48, 5
+BANDS, ROWS = 64, 6
+#: Buckets that a node must share before it is looked at.
+SHARED = 2
 #: Nodes of one side of a block, and rows of a group of blocks.
 BLOCK, GROUP = 256, 2000
 
@@ -55,7 +58,10 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
-    """node and its sorted shingle hashes, read again from a document that has the set."""
+    """node and its sorted shingle hashes, read again from a document that has the set.
+
+    Texts and nodes always meet by a merge join, as the number of nodes follows the corpus.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
@@ -68,7 +74,7 @@ def full_sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
 
     wanted = needed.select("node", "fa", "fb", F.col("first_id").alias("id"))
-    joined = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "fa", "fb", "text")
+    joined = docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "fa", "fb", "text")
     return joined.mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"])
 
 
@@ -159,8 +165,12 @@ def near_duplicates(
     )
     nodes = cut(nodes, "near-dup-nodes")
     banded = nodes.select("node", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = cut(banded.join(shared, "key"), "near-dup-members")
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
+    met = cut(banded.join(shared, "key"), "near-dup-met")
+    busy = met.groupBy("node").agg(F.count(F.lit(1)).alias("buckets")).filter(F.col("buckets") >= SHARED).select("node")
+    met = cut(met.join(busy, "node"), "near-dup-busy")
+    centers = met.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = cut(met.join(centers, "key"), "near-dup-members")
     small = nodes.select("node", "n")
     pairs = members.filter("node <> center").select("node", "center").distinct()
     pairs = pairs.join(small, "node").join(small.select(F.col("node").alias("center"), F.col("n").alias("m")), "center").filter(sizes_allow("n", "m", percent))
