@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.schema import struct
+
 
 class Table:
     """A keyed table under a folder, partitioned by ``partition`` if given."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: tuple[str, ...], partition: str | None = None) -> None:
-        self.spark, self.path, self.schema, self.key, self.partition = spark, path.rstrip("/"), schema, key, partition
+    def __init__(self, spark: SparkSession, path: str, schema: str | T.StructType, key: tuple[str, ...], partition: str | None = None) -> None:
+        self.spark, self.path, self.schema, self.key, self.partition = spark, path.rstrip("/"), struct(schema), key, partition
 
     def _pointer(self) -> str | None:
         jvm = self.spark.sparkContext._jvm

@@ -23,7 +23,7 @@ def golden(spark: SparkSession, path: str) -> DataFrame:
         cases = F.from_json("value", f"array<struct<{_CASE.replace(' ', ':').replace(',:', ',')}>>", {"mode": "FAILFAST"})
         listed = F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.get_json_object("value", "$.test_cases"))
         rows = whole.withColumn("value", listed).select(F.explode(cases).alias("c")).select("c.*")
-    return rows.withColumn("query", F.coalesce("query", "user_input")).select(*schema.GOLDEN.fieldNames())
+    return rows.withColumn("query", F.coalesce("query", "user_input")).select(*schema.struct(schema.GOLDEN).fieldNames())
 
 
 def traces(spark: SparkSession, path: str) -> DataFrame:
