@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, table
+from lodestone.llm.common import cut, spare, table
 from lodestone.llm.line_dedup import drop_boilerplate
 from lodestone.llm.near_dup import near_duplicates
 from lodestone.llm.packing import pack_documents
@@ -26,8 +26,8 @@ ORACLE_SQL = None
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model, fitted on the labels of these documents, doesn't call toxic."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
-    return score(rows, model).filter(~F.col("toxic")).select("doc.*")
+    names = tuple(spare(docs, f"__{x}") for x in ("severity", "grade", "toxic"))
+    return score(docs, model, names=names).filter(~F.col(names[2])).drop(*names)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

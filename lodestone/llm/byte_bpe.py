@@ -26,7 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestone.llm.common import parts, texts
+from lodestone.llm.common import map_arrow, parts, texts
 
 #: Fixed value: the characters that Unicode calls white space, for engines whose own class differs.
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -114,7 +114,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, *, text: str = "text",
             packed = [np.array(encode_text(value, encoding, scan, chunk, overlap), dtype="<u4").tobytes() for value in texts(batch, text)]
             yield _replaced(batch, ids=pa.array(packed, pa.binary()), n_tokens=pa.array([len(x) // 4 for x in packed], pa.int64()))
 
-    return df.mapInArrow(run, _with(df.schema, ids=T.BinaryType(), n_tokens=T.LongType()))
+    return map_arrow(df, run, _with(df.schema, ids=T.BinaryType(), n_tokens=T.LongType()))
 
 
 def decode(df: DataFrame, vocabulary: str, pattern: str, *, ids: str = "ids") -> DataFrame:
@@ -126,4 +126,4 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, *, ids: str = "ids") ->
             rows = (np.frombuffer(x or b"", dtype="<u4").tolist() for x in batch.column(ids).to_pylist())
             yield _replaced(batch, decoded=pa.array([b"".join(map(table.__getitem__, x)) for x in rows], pa.binary()))
 
-    return df.mapInArrow(run, _with(df.schema, decoded=T.BinaryType()))
+    return map_arrow(df, run, _with(df.schema, decoded=T.BinaryType()))

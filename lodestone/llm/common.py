@@ -64,3 +64,15 @@ def parts(batches: Iterator, rows: int = 256) -> Iterator:
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+#: Rows of an Arrow batch at most: texts can be long, and a batch is held on both sides of the pipe.
+BATCH_ROWS = 1000
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` with small batches; the session's limit is lowered for it, and never raised."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)

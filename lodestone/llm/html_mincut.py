@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestone.llm.common import parts, pick, texts
+from lodestone.llm.common import map_arrow, parts, pick, texts
 from lodestone.llm.html_blocks import HEADINGS, Block, blocks
 
 #: The classifier's weights, in tenths of a unit of cost; positive for content.
@@ -116,4 +116,4 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
             arrays = [batch.column("page_id"), batch.column("url"), pa.array(made, pa.string()), pa.array([len(x) for x in made], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)

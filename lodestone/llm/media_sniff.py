@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import parts
+from lodestone.llm.common import map_arrow, parts
 from lodestone.llm.media_formats import media, read_wav, write_wav
 
 FOUND = "array<struct<type:string,offset:bigint,length:bigint>>"
@@ -36,7 +36,7 @@ def _each(df: DataFrame, schema: str, types: list[pa.DataType], one) -> DataFram
             made = list(zip(*map(one, *[c.to_pylist() for c in batch.columns[1:]])))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, made, types)], names=names)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def store_audio(df: DataFrame, *, key: str, payload: str) -> DataFrame:

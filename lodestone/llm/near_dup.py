@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, parts, pick, texts
+from lodestone.llm.common import cut, map_arrow, parts, pick, texts
 from lodestone.llm.components import components
 from lodestone.llm.minhash import band_keys, fingerprint, shingles, signature
 
@@ -54,7 +54,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             )
 
     rows_of = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return rows_of.mapInArrow(run, "row long, doc_id long, n long, fa long, fb long, bands array<long>")
+    return map_arrow(rows_of, run, "row long, doc_id long, n long, fa long, fb long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
@@ -75,7 +75,7 @@ def full_sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
 
     wanted = needed.select("node", "fa", "fb", F.col("first_id").alias("id"))
     joined = docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "fa", "fb", "text")
-    return joined.mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"])
+    return map_arrow(joined, run, "node long, hashes array<long>").dropDuplicates(["node"])
 
 
 def similar(n: str, m: str, both, percent: int):

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from lodestone.llm.common import pick, texts
+from lodestone.llm.common import map_arrow, pick, texts
 
 #: Sequences of one task are numbered from its partition's number times this.
 PER_TASK = 1 << 40
@@ -148,4 +148,4 @@ def pack_documents(
         if held:
             yield from flushed(held, next_id)
 
-    return pick(docs, doc_id=doc_id, text=text).mapInArrow(run, schema)
+    return map_arrow(pick(docs, doc_id=doc_id, text=text), run, schema)

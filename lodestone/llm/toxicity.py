@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import cut, parts, pick, texts
+from lodestone.llm.common import cut, map_arrow, parts, pick, texts
 
 WORD = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6)
@@ -114,7 +114,7 @@ def telling_features(sample: DataFrame, features: int, least: int) -> list[tuple
             some = names[start : start + 50_000]
             yield pa.RecordBatch.from_pydict({"feature": some, "clean": [counts[0][f] for f in some], "bad": [counts[1][f] for f in some]})
 
-    totals = sample.mapInArrow(count, "feature string, clean long, bad long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
+    totals = map_arrow(sample, count, "feature string, clean long, bad long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
     held = cut(totals, "toxicity-features")
     rows = held.filter("feature = ''").collect()
     clean, bad = (rows[0].clean, rows[0].bad) if rows else (0, 0)
@@ -181,7 +181,7 @@ def fit(
             found, toxics, masses = zip(*made)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), pa.array(toxics), pa.array(masses)], names=["found", "toxic", "mass"])
 
-    rows = sorted(drawn.mapInArrow(encode, "found array<int>, toxic long, mass double").collect())
+    rows = sorted(map_arrow(drawn, encode, "found array<int>, toxic long, mass double").collect())
     bad = np.array([r.toxic for r in rows])
     mass = np.array([r.mass for r in rows])
     cuts = np.quantile(mass[bad > 0], [j / grades for j in range(1, grades)])
@@ -190,18 +190,19 @@ def fit(
     return Model({f: round(float(weights[i]), 6) for f, i in number.items()}, [round(float(t), 6) for t in thresholds])
 
 
-def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """``docs`` with severity, grade and toxic; the model has a bounded number of features."""
-    kept = [f for f in docs.schema.fields if f.name.lower() not in OUTPUT]
-    schema = T.StructType(kept + [T.StructField(n, t) for n, t in OUTPUT.items()])
-    names = [f.name for f in kept]
+def score(docs: DataFrame, model: Model, *, text: str = "text", names: tuple[str, str, str] = tuple(OUTPUT)) -> DataFrame:
+    """``docs`` with severity, grade and toxic, or these under other names; the model has a bounded number of features."""
+    output = dict(zip(names, OUTPUT.values()))
+    kept = [f for f in docs.schema.fields if f.name.lower() not in {n.lower() for n in output}]
+    schema = T.StructType(kept + [T.StructField(n, t) for n, t in output.items()])
+    carried = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(model.weights)
         for batch in parts(batches):
             made = [model.judge(scores.of(value)) for value in texts(batch, text)]
             severity, grade, toxic = zip(*made)
-            arrays = [batch.column(n) for n in names] + [pa.array(severity), pa.array(grade, pa.int32()), pa.array(toxic)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*names, *OUTPUT])
+            arrays = [batch.column(n) for n in carried] + [pa.array(severity), pa.array(grade, pa.int32()), pa.array(toxic)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *output])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
