@@ -30,9 +30,11 @@ from lodestone.llm.common import cut
 
 SEGMENTS = (1, 4, 16)
 #: Queries whose bounds are held at once.
-AT_ONCE = 256
+AT_ONCE = 64
 #: Candidates with the best bounds whose exact scores set the first threshold, as a multiple of k.
 PROBES = 3
+#: Bounds are computed in single precision; thresholds give way by this share of the largest bound.
+LOOSE = 1e-4
 #: Whole numbers below this are exact in a double.
 EXACT = float(2**53)
 
@@ -65,38 +67,46 @@ def exact_scores(q: np.ndarray, x: np.ndarray, qi: np.ndarray, xi: np.ndarray) -
 
 
 def block_topk(q: np.ndarray, q_rows: np.ndarray, x: np.ndarray, x_rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index of the query, index of the candidate and score of each query's best k of one block."""
-    levels = [(statistics(q, s), statistics(x, s).T) for s in SEGMENTS]
+    """Index of the query, index of the candidate and score of each query's best k of one block.
+
+    A threshold is the k-th best exact score of the candidates whose bounds are best, at the coarsest
+    and at the finest level.  Candidates that no query of a batch can still want leave the batch.
+    """
+    levels = [(statistics(q, s).astype(np.float32), statistics(x, s).astype(np.float32).T) for s in SEGMENTS]
+    by_row = np.argsort(x_rows)
+    at = np.minimum(np.searchsorted(x_rows[by_row], q_rows), len(x_rows) - 1)
+    own = np.where(x_rows[by_row[at]] == q_rows, by_row[at], -1)
+    whole = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < EXACT
     found = []
     for start in range(0, len(q), AT_ONCE):
         some = slice(start, start + AT_ONCE)
-        n = len(q[some])
-        own = q_rows[some, None] == x_rows[None, :]
-        threshold, alive = np.full(n, -np.inf), ~own
+        batch, mine = q[some], own[some, None]
+        threshold, columns = np.full(len(batch), -np.inf), np.arange(len(x))
         for left, right in levels:
-            bound = left[some] @ right
-            bound += 1e-9 * np.abs(bound) + 1e-6
-            bound[~alive] = -np.inf
-            probes = min(PROBES * k, bound.shape[1])
-            best = np.argpartition(-bound, probes - 1, axis=1)[:, :probes]
-            rows = np.repeat(np.arange(n), probes)
-            scores = exact_scores(q[some], x, rows, best.ravel()).astype(float).reshape(n, probes)
-            scores[~np.take_along_axis(alive, best, axis=1)] = -np.inf
-            if probes >= k:
-                threshold = np.maximum(threshold, -np.partition(-scores, k - 1, axis=1)[:, k - 1])
-            alive &= bound >= threshold[:, None]
-        qi, xi = np.nonzero(alive)
-        scores = exact_scores(q[some], x, qi, xi)
-        order = np.lexsort((x_rows[xi], ids[xi], -scores.astype(object) if scores.size and scores.min() == -(2**63) else -scores, qi))
+            bound = left[some] @ (right if len(columns) == len(x) else right[:, columns])
+            slack = LOOSE * float(np.abs(bound).max(initial=0)) + 1e-3
+            probes = min(PROBES * k, len(columns))
+            if probes >= k and right.shape[0] in (2 * SEGMENTS[0], 2 * SEGMENTS[-1]):
+                best = columns[np.argpartition(bound, len(columns) - probes, axis=1)[:, -probes:]]
+                scores = exact_scores(batch, x, np.repeat(np.arange(len(batch)), probes), best.ravel()).astype(float).reshape(best.shape)
+                scores[best == mine] = -np.inf
+                threshold = np.maximum(threshold, np.partition(scores, probes - k, axis=1)[:, probes - k])
+            columns = columns[(bound >= threshold[:, None] - slack).any(axis=0)]
+        close = batch @ x[columns].T
+        loose = 0 if whole else LOOSE * float(np.abs(close).max(initial=0))
+        qi, xi = np.nonzero((close >= threshold[:, None] - loose) & (columns[None, :] != mine))
+        scores = close[qi, xi].astype(np.int64) if whole else exact_scores(batch, x, qi, columns[xi])
+        xi = columns[xi]
+        order = np.lexsort((x_rows[xi], ids[xi], ~scores, qi))
         qi, xi, scores = qi[order], xi[order], scores[order]
         rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
         found.append((qi[rank < k] + start, xi[rank < k], scores[rank < k]))
-    return tuple(np.concatenate(part) if part else np.zeros(0, np.int64) for part in zip(*found))
+    return tuple(np.concatenate(part) for part in zip(*found))
 
 
 def search(
     vectors: DataFrame, is_query, *, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", scale: float = 64.0,
-    query_block: int = 2048, candidate_block: int = 8192,
+    query_block: int = 2048, candidate_block: int = 32_768,
 ) -> DataFrame:
     """query_id, rank, vec_id and score: the k best of all rows for every row where ``is_query`` (a column of vec_id) holds."""
     rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").alias("embedding"))
