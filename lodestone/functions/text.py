@@ -42,8 +42,7 @@ def tokens(text: Column) -> Column:
 
 def terms(text: Column, *, stopwords=ENGLISH, least: int = 2, dedupe: bool = False) -> Column:
     """Tokens without stop-words and short ones, before stemming."""
-    stop = F.array(*[F.lit(w) for w in sorted(stopwords)])
-    kept = F.filter(tokens(text), lambda w: ~F.array_contains(stop, w) & (F.length(w) >= least))
+    kept = F.filter(tokens(text), lambda w: ~w.isin(*sorted(stopwords)) & (F.length(w) >= least))
     return F.array_distinct(kept) if dedupe else kept
 
 

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lodestone.functions.numeric import bm25_part, idf
 from lodestone.functions.stem import stem_terms
-from lodestone.functions.text import terms
+from lodestone.functions.stopwords import ENGLISH
+from lodestone.functions.text import tokens
+
+#: Shorter terms are not indexed.
+LEAST = 2
 
 
 @dataclass(frozen=True)
@@ -23,6 +27,16 @@ class Index:
     postings: DataFrame
     lengths: DataFrame
 
+    def kept(self) -> Index:
+        """The same index with both tables kept in memory, or on disk where it is short, for several queries."""
+        return Index(self.postings.persist(), self.lengths.persist())
+
+    def save(self, path: str) -> Index:
+        """Both tables written, postings in files by ranges of terms, so that a query reads few of them."""
+        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+        return load(self.postings.sparkSession, path)
+
     def term_stats(self) -> DataFrame:
         df = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         return df.crossJoin(F.broadcast(self.corpus_stats().select("n"))).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
@@ -34,9 +48,15 @@ class Index:
         )
 
 
+def load(spark: SparkSession, path: str) -> Index:
+    """A saved index; a folder without one is an error of Spark's reader."""
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+
+
 def term_rows(chunks: DataFrame, *, chunk_id: str = "chunk_id", text: str = "text", stem: bool = True) -> DataFrame:
     """A row per occurrence of a term; partial sums come before any shuffle."""
-    rows = chunks.select(F.col(chunk_id).alias("chunk_id"), F.explode(terms(F.col(text))).alias("term"))
+    rows = chunks.select(F.col(chunk_id).alias("chunk_id"), F.explode(tokens(F.col(text))).alias("term"))
+    rows = rows.filter(~F.col("term").isin(*sorted(ENGLISH)) & (F.length("term") >= LEAST))
     return stem_terms(rows) if stem else rows
 
 

@@ -20,8 +20,8 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> Index:
-    """Unstemmed, so that SQL can say the same."""
-    return build(chunks(spark, sf_dir), stem=False)
+    """Unstemmed, so that SQL can say the same; kept, as queries read its tables several times."""
+    return build(chunks(spark, sf_dir), stem=False).kept()
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:

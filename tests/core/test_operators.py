@@ -51,6 +51,12 @@ def test_add_and_remove_are_inverse(spark, chunks):
     assert rows(index.remove_prefixes(joined, gone).lengths, "chunk_id") == rows(part.lengths, "chunk_id")
 
 
+def test_saved_index(spark, chunks, tmp_path):
+    built = index.build(chunks)
+    again = built.save(str(tmp_path / "index"))
+    assert rows(again.term_stats(), "term", "df") == rows(built.term_stats(), "term", "df")
+
+
 def lists(spark):
     a = spark.createDataFrame([("q", c, r, 1.0 / r) for r, c in enumerate("xyz", 1)] + [("p", "x", 1, 0.4)], "query_id string, chunk_id string, rank int, score double")
     b = spark.createDataFrame([("q", c, r, 9.0 - r) for r, c in enumerate("yw", 1)], "query_id string, chunk_id string, rank int, score double")
