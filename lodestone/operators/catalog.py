@@ -119,3 +119,14 @@ def page_verdicts(pages: DataFrame, library: DataFrame, *, words_least: int = 30
     hits = F.size(F.filter(windows(F.col("w")), lambda x: F.contains(F.coalesce("held", F.lit("")), x)))
     verdict = F.when(F.size("w") < words_least, "blank_or_image").when(long / F.size("w") < alpha_least, "figure_page").when(hits > 0, "in_library").otherwise("MISSING")
     return rows.select("doc_id", "page", F.size("w").alias("words"), verdict.alias("verdict"))
+
+
+def integrity(pages: DataFrame, library: DataFrame, chunks: DataFrame, postings: DataFrame, lengths: DataFrame, files: DataFrame) -> DataFrame:
+    """check and n of all that is amiss: missing pages, files without chunks, foreign chunks, ids in one store only."""
+    missing = page_verdicts(pages, library).filter("verdict = 'MISSING'")
+    found = {"missing_pages": missing, "not_ingested": not_ingested(files, chunks), "foreign_chunks": foreign_chunks(files, chunks), "unaligned": alignment(chunks, postings, lengths)}
+    out = None
+    for name, rows in found.items():
+        one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out

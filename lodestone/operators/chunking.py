@@ -188,3 +188,15 @@ def table_health(tables: DataFrame, grid: str = "grid") -> DataFrame:
     widths = F.array_distinct(F.transform(F.col(grid), F.size))
     empty = F.size(F.filter(cells, lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""))
     return tables.select("table_id", F.size(grid).alias("rows"), F.array_sort(widths).alias("widths"), (F.size(widths) == 1).alias("consistent"), F.try_divide(empty, F.size(cells)).alias("empty_rate"))
+
+
+def layout_chunks(pieces: DataFrame) -> DataFrame:
+    """Chunks of a layout chunker's pieces (doc_id, piece, text, headings, labels, page): headings in front, a flag for each kind of content."""
+    head = F.array_join(F.coalesce("headings", F.array().cast("array<string>")), "\n")
+    has = lambda *kinds: F.exists("labels", lambda x: x.isin(*kinds))
+    text = F.when(head != "", F.concat(head, F.lit("\n"), F.col("text"))).otherwise(F.col("text"))
+    rows = pieces.select(
+        "doc_id", (F.row_number().over(W.partitionBy("doc_id").orderBy("piece")) - 1).alias("chunk_index"), text.alias("text"), "headings", F.col("page").alias("page_num"),
+        has("table").alias("contains_table"), has("text", "paragraph", "list_item", "title", "section_header").alias("contains_text"), has("picture", "figure").alias("contains_figure"), has("formula", "equation").alias("contains_equation"),
+    )
+    return rows.withColumn("chunk_id", draft_chunk_id(F.col("doc_id"), F.col("chunk_index"), F.col("text")))

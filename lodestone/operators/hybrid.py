@@ -86,3 +86,14 @@ def citations(results: DataFrame, *, n: int = 200) -> DataFrame:
     from lodestone.functions.text import snippet
 
     return results.select("query_id", F.col("rank").alias("index"), "chunk_id", F.col("source_path").alias("source"), F.round("score", 4).alias("score"), snippet(F.col("text"), n).alias("text_snippet"))
+
+
+def compare(queries: DataFrame, chunks: DataFrame, index: Index, vectors: DataFrame, *, k: int = 10, rrf_k: int = 60) -> DataFrame:
+    """Both paths and their fusion side by side: query_id, path ('dense', 'sparse' or 'fused'), chunk_id, score, rank."""
+    asked = process_queries(queries)
+    paths = {"dense": dense_search.topk(vectors, queries.select("query_id", "vector"), k=k), "sparse": bm25(index, asked.select("query_id", "terms"), k=k)}
+    fused = fuse_or_pass(together(*paths.values()), k=rrf_k).filter(F.col("rank") <= k)
+    out = fused.select("query_id", F.lit("fused").alias("path"), "chunk_id", "score", "rank")
+    for name, rows in paths.items():
+        out = out.unionByName(rows.select("query_id", F.lit(name).alias("path"), "chunk_id", "score", "rank"))
+    return out

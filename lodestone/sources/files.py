@@ -136,3 +136,8 @@ def replay(files: DataFrame, cache: DataFrame, stamp: Column) -> tuple[DataFrame
     hits = held.join(whole, "file_hash").join(files.select("file_hash", "path"), "file_hash")
     texts = hits.groupBy("file_hash", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("batch", "text"))), lambda x: x["text"]), "\n").alias("text"))
     return texts, files.join(whole, "file_hash", "left_anti")
+
+
+def cached(cache: DataFrame, parsed: DataFrame) -> DataFrame:
+    """The parse cache with new entries (file_hash, version_stamp, batch, n_batches, text) in place of those of the same files."""
+    return cache.join(parsed.select("file_hash").distinct(), "file_hash", "left_anti").unionByName(parsed)
