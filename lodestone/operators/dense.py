@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.numeric import cosine, similarity_score
+from lodestone.operators.bounds import small
 from lodestone.operators.index import ranked
 
-#: A batch of more query vectors must be cut up by the caller: every task holds all of them.
-MOST_QUERIES = 10_000
-
 
 def conjunction(filters: dict[str, object]) -> Column:
     """Equality of every key; keys that are not pushed to the vectors are left out."""
@@ -27,12 +25,9 @@ def topk(chunks: DataFrame, queries: DataFrame, *, k: int = 10, where: Column |
     The batch of queries is checked to be bounded and sent to every task; chunks are scanned once.
     Vectors of norm zero, and of other lengths, are never found.
     """
-    n = queries.count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"{n} queries in a batch, at most {MOST_QUERIES}")
     rows = chunks if where is None else chunks.filter(where)
     asked = queries.select("query_id", F.col("vector").alias("__asked"))
-    near = rows.select("chunk_id", F.col(vector).alias("__held")).join(F.broadcast(asked), F.size("__held") == F.size("__asked"))
+    near = rows.select("chunk_id", F.col(vector).alias("__held")).join(small(asked, "queries"), F.size("__held") == F.size("__asked"))
     score = similarity_score(cosine(F.col("__held"), F.col("__asked")))
     scored = near.select("query_id", "chunk_id", score.alias("score")).filter(F.col("score").isNotNull())
     return ranked(scored, k, F.desc(F.round("score", 9)), F.col("chunk_id"))
@@ -44,10 +39,7 @@ def similar_pairs(vectors: DataFrame, *, threshold: float = 0.85, key: str = "id
     Meant for a test set's questions, whose number is bounded; a join by nothing but order is checked
     against the same bound as a batch of queries.
     """
-    n = vectors.count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"{n} vectors, at most {MOST_QUERIES}")
     a = vectors.select(F.col(key).alias("left"), F.col(vector).alias("__a"))
     b = vectors.select(F.col(key).alias("right"), F.col(vector).alias("__b"))
-    pairs = a.join(F.broadcast(b), F.col("left") < F.col("right")).withColumn("similarity", cosine(F.col("__a"), F.col("__b")))
+    pairs = a.join(small(b, "vectors"), F.col("left") < F.col("right")).withColumn("similarity", cosine(F.col("__a"), F.col("__b")))
     return pairs.filter(F.col("similarity") >= threshold).select("left", "right", F.round("similarity", 4).alias("similarity"))

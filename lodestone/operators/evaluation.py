@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lodestone.functions.text import ascii_tokens, basename, normalise
+from lodestone.operators.bounds import small
 
 
 def id_metrics(results: DataFrame, truth: DataFrame, queries: DataFrame) -> DataFrame:
@@ -74,9 +75,9 @@ def match_contexts(contexts: DataFrame, chunks: DataFrame, *, least: float = 0.5
     side: reference contexts are a test set's.  The fallback joins tokens, not pairs; ties go to the
     smaller id.
     """
-    c = contexts.select("context_id", normalise(F.col("text")).alias("needle"))
+    c = small(contexts.select("context_id", normalise(F.col("text")).alias("needle")), "contexts")
     h = chunks.select("chunk_id", normalise(F.col("text")).alias("hay"))
-    inside = h.join(F.broadcast(c), F.contains(F.col("hay"), F.col("needle"))).groupBy("context_id").agg(F.min(F.struct(F.length("hay").alias("n"), "chunk_id")).alias("best"))
+    inside = h.join(c, F.contains(F.col("hay"), F.col("needle"))).groupBy("context_id").agg(F.min(F.struct(F.length("hay").alias("n"), "chunk_id")).alias("best"))
     inside = inside.select("context_id", F.col("best.chunk_id").alias("chunk_id"))
     words = lambda df, key, text: df.select(key, F.explode(F.array_distinct(ascii_tokens(F.col(text)))).alias("token"))
     left = c.join(inside, "context_id", "left_anti")
@@ -148,7 +149,7 @@ def final_entries(rows: DataFrame) -> DataFrame:
 
 def feed_report(sections: DataFrame, excluded: DataFrame) -> DataFrame:
     """One row: kept, figure and excluded sections, and the kept text in order; excluded has doc_id and page."""
-    gone = F.broadcast(excluded.select("doc_id", "page").distinct().withColumn("gone", F.lit(True)))
+    gone = excluded.select("doc_id", "page").distinct().withColumn("gone", F.lit(True))
     kind = F.when(F.col("type") == "figure", "figure").when(F.col("gone"), "excluded").otherwise("kept")
     rows = sections.join(gone, ["doc_id", "page"], "left").withColumn("kind", kind)
     kept = F.when((F.col("kind") == "kept") & (F.trim(F.coalesce("text", F.lit(""))) != ""), F.struct("doc_id", "pos", "text"))

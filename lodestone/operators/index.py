@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lodestone.functions.numeric import bm25_part, idf
+from lodestone.functions.stem import stem as stem_word
 from lodestone.functions.stem import stem_terms
 from lodestone.functions.stopwords import ENGLISH
 from lodestone.functions.text import tokens
@@ -54,10 +55,16 @@ def load(spark: SparkSession, path: str) -> Index:
 
 
 def term_rows(chunks: DataFrame, *, chunk_id: str = "chunk_id", text: str = "text", stem: bool = True) -> DataFrame:
-    """A row per occurrence of a term; partial sums come before any shuffle."""
+    """A row per occurrence of a term.
+
+    Stop-words are left out before stemming, and after it where a stem is that of a stop-word.
+    """
     rows = chunks.select(F.col(chunk_id).alias("chunk_id"), F.explode(tokens(F.col(text))).alias("term"))
     rows = rows.filter(~F.col("term").isin(*sorted(ENGLISH)) & (F.length("term") >= LEAST))
-    return stem_terms(rows) if stem else rows
+    if not stem:
+        return rows
+    stems = sorted(ENGLISH | {stem_word(w) for w in ENGLISH})
+    return stem_terms(rows).filter(~F.col("term").isin(*stems) & (F.length("term") >= LEAST))
 
 
 def build(chunks: DataFrame, *, chunk_id: str = "chunk_id", text: str = "text", stem: bool = True) -> Index:
@@ -93,11 +100,15 @@ def ranked(scored: DataFrame, k: int | None, *order: Column) -> DataFrame:
 def bm25(index: Index, queries: DataFrame, *, k: int | None = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_id, chunk_id, score and rank; ``queries`` has query_id and terms (an array, each once).
 
-    Queries come in a batch, and the rows of all join the postings by term once.
+    Queries come in a batch.  Postings are cut to the terms that any of them asks before anything else,
+    and document frequencies are counted over what is left.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    hits = index.postings.join(asked, "term").join(index.term_stats().select("term", "idf"), "term")
-    hits = hits.join(index.lengths.select("chunk_id", "dl"), "chunk_id").crossJoin(F.broadcast(index.corpus_stats().select("avgdl")))
+    some = index.postings.join(asked.select("term").distinct(), "term")
+    corpus = F.broadcast(index.corpus_stats().select("n", "avgdl"))
+    df = some.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(corpus)
+    stats = df.select("term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
+    hits = some.join(asked, "term").join(stats, "term").join(index.lengths.select("chunk_id", "dl"), "chunk_id")
     part = bm25_part(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     scored = hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
     return ranked(scored, k, F.desc(F.round("score", 9)), F.col("chunk_id"))
