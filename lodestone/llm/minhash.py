@@ -16,7 +16,7 @@ UNIVERSE = 1 << 20
 #: Elements whose windows are held at once.
 AT_ONCE = 4096
 #: Distinct words whose hashes are kept per Python worker.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 

@@ -30,7 +30,7 @@ from lodestone.llm.common import map_arrow, pick, texts
 #: Sequences of one task are numbered from its partition's number times this.
 PER_TASK = 1 << 40
 #: Ids of so many distinct words are kept per Python worker, and of as many before them.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Marks that the tokenizer parts from the letters before them.
 MARKS = ".,!?;:%$#&*()-"
 #: The characters by which byte-level vocabularies stand for bytes: printable ones for themselves, the others from 256 on.

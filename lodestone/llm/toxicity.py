@@ -41,7 +41,9 @@ EVIDENCE = 20.0
 #: A weight is at least this share of its feature's log odds.
 FLOOR = 0.2
 #: A word's features are kept for so many distinct words per task.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+#: Partial counts of a task leave it when there are so many features.
+COUNTED = 200_000
 OUTPUT = {"severity": T.DoubleType(), "grade": T.IntegerType(), "toxic": T.BooleanType()}
 
 
@@ -77,10 +79,10 @@ class Scores(dict):
     def __init__(self, weights: dict[str, float]) -> None:
         self.weights = weights
 
-    def __missing__(self, word: str) -> list[tuple[str, float]]:
+    def __missing__(self, word: str) -> tuple[tuple[str, float], ...]:
         if len(self) >= REMEMBERED:
             self.clear()
-        found = self[word] = [(f, self.weights[f]) for f in word_features(word) if f in self.weights]
+        found = self[word] = tuple((f, self.weights[f]) for f in word_features(word) if f in self.weights)
         return found
 
     def of(self, text: str) -> float:
@@ -103,16 +105,21 @@ def telling_features(sample: DataFrame, features: int, least: int) -> list[tuple
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
-        rows = [0, 0]
+
+        def partial() -> Iterator[pa.RecordBatch]:
+            names = list(counts[0].keys() | counts[1].keys())
+            for start in range(0, len(names), 50_000):
+                some = names[start : start + 50_000]
+                yield pa.RecordBatch.from_pydict({"feature": some, "clean": [counts[0].get(f, 0) for f in some], "bad": [counts[1].get(f, 0) for f in some]})
+            for held in counts:
+                held.clear()
+
         for batch in batches:
             for text, toxic in zip(texts(batch), batch.column("toxic").to_pylist()):
-                counts[toxic > 0].update(text_features(text))
-                rows[toxic > 0] += 1
-        counts[0][""], counts[1][""] = rows
-        names = list(counts[0].keys() | counts[1].keys())
-        for start in range(0, len(names), 50_000):
-            some = names[start : start + 50_000]
-            yield pa.RecordBatch.from_pydict({"feature": some, "clean": [counts[0][f] for f in some], "bad": [counts[1][f] for f in some]})
+                counts[toxic > 0].update(text_features(text) | {""})
+                if len(counts[0]) + len(counts[1]) > COUNTED:
+                    yield from partial()
+        yield from partial()
 
     totals = map_arrow(sample, count, "feature string, clean long, bad long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
     held = cut(totals, "toxicity-features")
