@@ -24,6 +24,10 @@ AGAINST = frozenset("""ad ads adv advert advertisement adverts advertising spons
 gdpr notice notices alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer foot comment
 comments reply replies disqus respond share sharing social related recommended newsletter subscribe subscription signup login
 search pagination pager toolbar widget copyright legal complementary contentinfo""".split())
+#: Beginnings of such words, as in commentlist or adslot.
+AGAINST_STARTS = ("comment", "advert", "ads", "sponsor", "cookie", "newsletter", "sidebar", "breadcrumb", "navbar", "navig", "footer", "related", "subscri", "promo", "popup")
+#: A class that begins with one of these speaks of the page, not of the element, as in has-sidebar.
+ABOUT_PAGE = frozenset("has with without no is".split())
 HEAD = frozenset("header masthead head".split())
 FOR = frozenset("article articlebody main content entry post story".split())
 
@@ -84,15 +88,18 @@ class _Page:
         if tag == "hr":
             return
         up, hints, hidden = self.stack[-1], set(), False
-        if attributes.strip():
+        if attributes.strip() and tag not in ("html", "body"):
             for name, value in ATTRIBUTE.findall(attributes):
                 if name.lower() in ("class", "id", "role", "itemprop"):
-                    hints.update(x.lower() for x in HINT.findall(value))
+                    for word in value.strip("\"'").split():
+                        parts = [x.lower() for x in HINT.findall(word)]
+                        hints.update(parts if parts and parts[0] not in ABOUT_PAGE else ())
                 hidden |= name.lower() == "hidden" or name.lower() == "style" and "display:none" in value.replace(" ", "").lower()
+        against = any(x in AGAINST or x.startswith(AGAINST_STARTS) for x in hints)
         self.count += 1
         self.stack.append(Element(
-            self.count, tag, up.inside or tag in ("article", "main") or bool(hints & FOR and not hints & AGAINST),
-            up.against or tag in FRAME or bool(hints & AGAINST) or hidden, up.header or tag == "header" or bool(hints & HEAD and tag != "body"),
+            self.count, tag, up.inside or tag in ("article", "main") or bool(hints & FOR) and not against,
+            up.against or tag in FRAME or against or hidden, up.header or tag == "header" or bool(hints & HEAD and tag != "body"),
         ))
 
     def close(self, tag: str) -> None:

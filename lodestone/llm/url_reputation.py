@@ -7,7 +7,7 @@ blocked when the lower posterior bound of its bad rate reaches ``max_bad``.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and is judged like any other
 host; a null or unmatched page id is an unlabelled page; labels that repeat an id count once, as bad if
-any of them is; a null label value is no label; repeated pages are judged, and counted, once per row;
+any of them is; a null label value is no label; of fitting rules of equal length the one listed last wins; repeated pages are judged, and counted, once per row;
 empty tables give empty results; further columns of either table are not read.
 """
 

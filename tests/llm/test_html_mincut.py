@@ -29,6 +29,9 @@ WANT = "\n".join(["Title", *PARAGRAPHS])
     body('<div id="cookie-notice"><p>We use cookies to make this site better for you, accept all of them.</p><button>OK</button></div>', ARTICLE.replace("</article>", AD + "</article>"), '<section id="comments"><h2>Comments</h2><div class="comment"><p>I liked this story a lot, thank you for writing it so well.</p></div></section>', FOOTER),
     body('<div class="header">Site</div>', '<div id="content">' + ARTICLE.replace("article>", "div>") + "</div>", '<form><label>Your mail</label><input name="x"></form>', FOOTER),
     body(NAV, ARTICLE.replace("</p></article>", "")),
+    body(NAV, ARTICLE, FOOTER).replace("<body>", '<body class="single has-sidebar post with-comments">'),
+    body('<div class="wrap has-sidebar"><ul id="topMenu"><li>Home</li><li>News</li></ul><main><div class="entry-header"><h1>Title</h1></div>', ARTICLE.replace("<h1>Title</h1>", "").replace("article>", "section>"), '</main><ol class="commentlist"><li>A reader says that all of this is very true and good.</li></ol></div>', FOOTER),
+    body('<div role="navigation">One | Two | Three</div><div class="post-body">', ARTICLE.replace("article>", "div>"), '<div class="share-buttons">Share this on all of the networks</div></div><div class="adslot">Cheap things for all of you today, come and see.</div>', FOOTER),
 ])
 def test_pages(page):
     assert main_text(page) == WANT
