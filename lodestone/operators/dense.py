@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lodestone.functions.numeric import cosine, similarity_score
-from lodestone.operators.bounds import small
+from lodestone.functions.numeric import cosine
+from lodestone.operators.bounds import MOST_ROWS, small
 from lodestone.operators.index import ranked
 
+#: Queries whose scores are held at once, and the difference up to which scores tie.
+AT_ONCE, TIE = 256, 1e-9
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of norm one; a row of norm zero becomes NaN, and is never found."""
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, norm, out=np.full_like(x, np.nan), where=norm > 0)
+
+
 
 def conjunction(filters: dict[str, object]) -> Column:
     """Equality of every key; keys that are not pushed to the vectors are left out."""
@@ -22,15 +39,40 @@ def conjunction(filters: dict[str, object]) -> Column:
 def topk(chunks: DataFrame, queries: DataFrame, *, k: int = 10, where: Column | None = None, vector: str = "embedding") -> DataFrame:
     """query_id, chunk_id, score and rank by cosine; ``queries`` has query_id and vector.
 
-    The batch of queries is checked to be bounded and sent to every task; chunks are scanned once.
-    Vectors of norm zero, and of other lengths, are never found.
+    The batch of queries is bounded and goes to every task as a matrix.  Chunks are scanned once, in
+    Arrow batches; a batch sends on no more than its own best k a query (and what ties with them), so
+    the shuffle doesn't grow with what is scanned.  Vectors of norm zero, with nulls, or of another
+    length than the query's are never found.
     """
-    rows = chunks if where is None else chunks.filter(where)
-    asked = queries.select("query_id", F.col("vector").alias("__asked"))
-    near = rows.select("chunk_id", F.col(vector).alias("__held")).join(small(asked, "queries"), F.size("__held") == F.size("__asked"))
-    score = similarity_score(cosine(F.col("__held"), F.col("__asked")))
-    scored = near.select("query_id", "chunk_id", score.alias("score")).filter(F.col("score").isNotNull())
-    return ranked(scored, k, F.desc(F.round("score", 9)), F.col("chunk_id"))
+    asked = queries.select("query_id", "vector").limit(MOST_ROWS + 1).collect()
+    if len(asked) > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} queries in a batch")
+    by_length: dict[int, tuple[list, np.ndarray]] = {}
+    for size in {len(r["vector"]) for r in asked if r["vector"] is not None}:
+        some = [r for r in asked if r["vector"] is not None and len(r["vector"]) == size]
+        by_length[size] = [r["query_id"] for r in some], unit(np.array([r["vector"] for r in some], dtype=np.float64))
+    rows = (chunks if where is None else chunks.filter(where)).select("chunk_id", F.col(vector).alias("vector"))
+    rows = rows.filter(F.size("vector").isin(*by_length) & ~F.exists("vector", lambda x: x.isNull())) if by_length else rows.limit(0)
+    query_type, chunk_type = queries.schema["query_id"].dataType, rows.schema["chunk_id"].dataType
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.list_value_length(batch.column("vector")).to_numpy(zero_copy_only=False)
+            for size, (ids, matrix) in by_length.items():
+                at = np.flatnonzero(lengths == size)
+                if not len(at):
+                    continue
+                held = batch.take(pa.array(at))
+                x = unit(held.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), size))
+                for start in range(0, len(ids), AT_ONCE):
+                    score = np.nan_to_num(np.maximum(0.0, 0.5 + 0.5 * (matrix[start : start + AT_ONCE] @ x.T)), nan=-1.0)
+                    floor = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.zeros(len(score))
+                    qi, xi = np.nonzero((score >= floor[:, None] - TIE) & (score >= 0))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([ids[start + i] for i in qi], to_arrow_type(query_type)), held.column("chunk_id").take(pa.array(xi)), pa.array(score[qi, xi])], names=["query_id", "chunk_id", "score"])
+
+    schema = T.StructType([T.StructField("query_id", query_type), T.StructField("chunk_id", chunk_type), T.StructField("score", T.DoubleType())])
+    return ranked(rows.mapInArrow(best, schema), k, F.desc(F.round("score", 9)), F.col("chunk_id"))
 
 
 def similar_pairs(vectors: DataFrame, *, threshold: float = 0.85, key: str = "id", vector: str = "embedding") -> DataFrame:
