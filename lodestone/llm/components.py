@@ -11,13 +11,13 @@ from lodestone.llm.common import cut
 def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node moves to the least of the node and its neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("least"))
+    least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("least")), "components-least")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours move to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("least"))
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("least")), "components-least")
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v")
     return moved.union(least.select("u", F.col("least").alias("v")))
 
@@ -25,8 +25,8 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the component's least node) of every node of ``edges`` (columns u and v).
 
-    Each round is two joins of edges with one row a node; hubs are split by Spark's skew handling and
-    summed before shuffles.  The number of rounds grows with the logarithm of a component's size.
+    Each round is two joins of edges with one row a node.  Hubs are summed before shuffles, and as that row
+    is written first, a hub's edges are split by Spark's skew handling.  The number of rounds grows with the logarithm of a component's size.
     """
 
     def told(df: DataFrame) -> tuple:
@@ -35,6 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
     held = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
     before, now = None, told(held)
     while now != before and now[0]:
-        held = cut(_small(_large(held).distinct()).distinct(), "components")
+        held = cut(_small(cut(_large(held).distinct(), "components")).distinct(), "components")
         before, now = now, told(held)
     return held.select(F.col("u").alias("node"), F.col("v").alias("root")).union(held.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

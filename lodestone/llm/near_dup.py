@@ -13,6 +13,9 @@ Nodes that share fewer than ``SHARED`` buckets are alone.  With 64 bands of 6 co
 similarity 0.8 shares fewer than two with a probability of 9e-8, and at 0.85 of 4e-12.  Sets are
 compared by 64-bit hashes of their shingles.
 
+Sums by bucket are written before rows meet them: Spark splits a hot bucket only in a join of two plain
+shuffles, not in one with an aggregation below it.
+
 Edge cases: null, empty and blank texts have no shingles and link with nothing; texts of any length are
 compared whole; a text shorter than a shingle is one shingle; documents with equal sets are linked;
 rows that repeat an id are documents of their own, kept if their id is the component's least; null ids
@@ -126,7 +129,7 @@ def remaining_links(members: DataFrame, roots: DataFrame, sets: DataFrame, perce
     counts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("size"))
     main = main.filter("roots > 1").select("key", F.col("most.root").alias("main"), F.col("most.n").alias("n_main"), "size")
-    open_ = cut(rooted.join(main, "key"), "near-dup-open")
+    open_ = cut(rooted.join(cut(main, "near-dup-main").hint("merge"), "key"), "near-dup-open")
     total = open_.agg(F.count(F.lit(1)).alias("n")).first().n
     if not total:
         return None
@@ -166,11 +169,11 @@ def near_duplicates(
     nodes = cut(nodes, "near-dup-nodes")
     banded = nodes.select("node", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
-    met = cut(banded.join(shared, "key"), "near-dup-met")
+    met = cut(banded.join(cut(shared, "near-dup-shared").hint("merge"), "key"), "near-dup-met")
     busy = met.groupBy("node").agg(F.count(F.lit(1)).alias("buckets")).filter(F.col("buckets") >= SHARED).select("node")
     met = cut(met.join(busy, "node"), "near-dup-busy")
     centers = met.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = cut(met.join(centers, "key"), "near-dup-members")
+    members = cut(met.join(cut(centers, "near-dup-centers").hint("merge"), "key"), "near-dup-members")
     small = nodes.select("node", "n")
     pairs = members.filter("node <> center").select("node", "center").distinct()
     pairs = pairs.join(small, "node").join(small.select(F.col("node").alias("center"), F.col("n").alias("m")), "center").filter(sizes_allow("n", "m", percent))
