@@ -55,6 +55,13 @@ def basename(path: Column) -> Column:
     return F.element_at(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), -1)
 
 
+#: What cleaning takes out, in order, and what it leaves in its place.
+CLEANING = (
+    (r"(?is)─{10,}.*?(?:Page \d+|Footer|Section \d+|©|Confidential).*?─{10,}", ""), (r"─{10,}", ""), (r"(?s)<!--.*?-->", ""), (r"<[^>]+>", ""), (" {2,}", " "), (r"\n{3,}", "\n\n"),
+    (r"(?U)[^\S\n]+(?=\n|\z)", ""),
+)
+
+
 def clean(text: Column) -> Column:
     """Rule cleaning of a chunk; code fences are set aside and put back."""
     fence = r"(?s)```.*?```"
@@ -62,8 +69,7 @@ def clean(text: Column) -> Column:
     mark = lambda i: F.concat(F.lit("__CODE_BLOCK_"), i.cast("string"), F.lit("__"))
     pieces = F.split(text, fence, -1)
     x = F.array_join(F.transform(pieces, lambda p, i: F.when(i < F.size(fences), F.concat(p, mark(i))).otherwise(p)), "")
-    x = F.regexp_replace(x, r"(?is)─{10,}.*?(?:Page \d+|Footer|Section \d+|©|Confidential).*?─{10,}", "")
-    for pattern, to in ((r"─{10,}", ""), (r"(?s)<!--.*?-->", ""), (r"<[^>]+>", ""), (" {2,}", " "), (r"\n{3,}", "\n\n"), (r"(?U)[^\S\n]+(?=\n|\z)", "")):
+    for pattern, to in CLEANING:
         x = F.regexp_replace(x, pattern, to)
     numbers = F.when(F.size(fences) > 0, F.sequence(F.lit(0), F.size(fences) - 1)).otherwise(F.array().cast("array<int>"))
     return strip(F.aggregate(numbers, x, lambda kept, i: F.replace(kept, mark(i), F.get(fences, i))))
@@ -210,15 +216,18 @@ def parse_scores(reply: Column) -> Column:
     return F.from_json(bare, "array<struct<passage_id:string,score:double>>", {"mode": "PERMISSIVE"})
 
 
+#: What speaks for a bibliography entry (an author's initials, a year, a number in brackets, a venue), and how much.
+ENTRY_SIGNALS = (
+    (r"[A-Z][A-Za-z'’\-]+,\s*(?:[A-Z]\.\s*){1,3}", 1),
+    (r"\((?:19|20)\d{2}[a-z]?\)\s*$|\b(?:19|20)\d{2}\b", 1),
+    (r"^\s*\[\d{1,3}\]", 2),
+    (r"\bIn:|\bSpringer\b|\bIEEE\b|\bACM\b|\bePrint\b|\bCryptology\b|\bProceedings\b|\bLNCS\b|\bvol\.|\bpp\.\s*\d", 1),
+)
+
+
 def entry_like(line: Column) -> Column:
     """Whether a line looks like a bibliography entry: two signals, a leading [n] counting as both."""
-    signals = [
-        (r"[A-Z][A-Za-z'’\-]+,\s*(?:[A-Z]\.\s*){1,3}", 1),
-        (r"\((?:19|20)\d{2}[a-z]?\)\s*$|\b(?:19|20)\d{2}\b", 1),
-        (r"^\s*\[\d{1,3}\]", 2),
-        (r"\bIn:|\bSpringer\b|\bIEEE\b|\bACM\b|\bePrint\b|\bCryptology\b|\bProceedings\b|\bLNCS\b|\bvol\.|\bpp\.\s*\d", 1),
-    ]
-    total = sum((F.when(line.rlike(pattern), weight).otherwise(0) for pattern, weight in signals), F.lit(0))
+    total = sum((F.when(line.rlike(pattern), weight).otherwise(0) for pattern, weight in ENTRY_SIGNALS), F.lit(0))
     return total >= 2
 
 
