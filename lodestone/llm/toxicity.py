@@ -4,7 +4,7 @@ Features are the words of a text and the beginnings of those words, so that infl
 weight; each counts once a text.  Only features that speak for toxicity are kept, so that a text
 without any is judged by the thresholds alone.  One weight vector serves all thresholds: the log odds of a severity
 above j are ``w . x - theta_j``.  The output is the expected severity, the likeliest grade and whether
-any severity above 0 is likelier than not.
+a severity above 0 is likely enough to reject the text.
 
 The model is fitted on a bounded sample of labelled rows (``sample``, the first by a hash of the id);
 candidate features are counted over that sample in Spark and the ``features`` that tell the classes
@@ -38,8 +38,14 @@ WORD = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6)
 #: A feature speaks for toxicity from this log-likelihood ratio (chi-square with one degree, p about 1e-5).
 EVIDENCE = 20.0
-#: A weight is at least this share of its feature's log odds.
-FLOOR = 0.2
+#: A feature is at least e times as frequent in toxic texts as in others.
+LEAST_ODDS = 1.0
+#: Where weights start, as a share of their features' log odds.
+START = 0.2
+#: A text is called toxic from this probability of a severity above 0: about three times the share of toxic labels.
+TOXIC = 0.3
+#: The weight of thresholds above the first in the loss: telling toxic from not comes before telling degrees.
+DEGREES = 0.1
 #: A word's features are kept for so many distinct words per task.
 REMEMBERED = 200_000
 #: Partial counts of a task leave it when there are so many features.
@@ -70,7 +76,7 @@ class Model:
     def judge(self, x: float) -> tuple[float, int, bool]:
         above = [1.0, *self.probabilities(x), 0.0]
         grade = max(range(len(above) - 1), key=lambda j: above[j] - above[j + 1])
-        return sum(above[1:]), grade, above[1] > 0.5
+        return sum(above[1:]), grade, above[1] > TOXIC
 
 
 class Scores(dict):
@@ -136,32 +142,31 @@ def telling_features(sample: DataFrame, features: int, least: int) -> list[tuple
     g2 = part(a, both, bad) + part(b, both, clean) + part(bad - a, n - both, bad) + part(clean - b, n - both, clean)
     odds = F.ln((a + 0.5) / (bad + 1.0)) - F.ln((b + 0.5) / (clean + 1.0))
     best = held.filter("feature <> ''").filter((both >= least) & (both < n)).select("feature", odds.alias("odds"), (2 * g2).alias("g2"))
-    best = best.filter((F.col("odds") > 0) & (F.col("g2") >= EVIDENCE))
+    best = best.filter((F.col("odds") >= LEAST_ODDS) & (F.col("g2") >= EVIDENCE))
     return [(r.feature, r.odds) for r in best.orderBy(F.desc("g2"), "feature").limit(features).collect()]
 
 
-def fit_thresholds(rows: list[list[int]], grades: np.ndarray, least: np.ndarray, top: int, rounds: int, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+def fit_thresholds(rows: list[list[int]], grades: np.ndarray, start: np.ndarray, top: int, rounds: int, ridge: float) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by Adam on the mean cumulative-link loss.
 
-    Thresholds stay in order, and weights at or above ``least``: every feature was chosen because it
-    speaks for toxicity, and must not lose that for being mild, or needless beside others, among the
-    toxic texts of the sample.
+    Thresholds stay in order, and weights, which begin at ``start``, at or above 0: every feature was
+    chosen because it speaks for toxicity, and a mild one among toxic texts must not speak against it.
     """
-    size = len(least)
+    size, part = len(start), np.where(np.arange(top) == 0, 1.0, DEGREES)
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     which = np.array([f for r in rows for f in r], dtype=np.int64)
     above = (grades[:, None] > np.arange(top)[None, :]).astype(float)
     share = np.clip(above.mean(axis=0), 1e-4, 1 - 1e-4)
-    p = np.concatenate([least, np.log((1 - share) / share)])
+    p = np.concatenate([start, np.log((1 - share) / share)])
     m, v = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, rounds + 1):
         w, theta = p[:size], p[size:]
         x = np.bincount(at, weights=w[which], minlength=len(rows))
-        off = 1 / (1 + np.exp(np.clip(theta[None, :] - x[:, None], -500, 500))) - above
+        off = (1 / (1 + np.exp(np.clip(theta[None, :] - x[:, None], -500, 500))) - above) * part
         g = np.concatenate([np.bincount(which, weights=off.sum(axis=1)[at], minlength=size) / len(rows) + ridge * w, -off.mean(axis=0)])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        p[:size] = np.maximum(p[:size], least)
+        p[:size] = np.maximum(p[:size], 0.0)
         p[size:] = np.maximum.accumulate(p[size:])
     return p[:size], p[size:]
 
@@ -193,7 +198,7 @@ def fit(
     mass = np.array([r.mass for r in rows])
     cuts = np.quantile(mass[bad > 0], [j / grades for j in range(1, grades)])
     severity = bad * (1 + np.searchsorted(cuts, mass, side="right"))
-    weights, thresholds = fit_thresholds([list(r.found) for r in rows], severity, FLOOR * np.array([o for _, o in best]), grades, rounds, ridge)
+    weights, thresholds = fit_thresholds([list(r.found) for r in rows], severity, START * np.array([o for _, o in best]), grades, rounds, ridge)
     return Model({f: round(float(weights[i]), 6) for f, i in number.items()}, [round(float(t), 6) for t in thresholds])
 
 
