@@ -21,7 +21,7 @@ def _box(x):
 def q_needs_ocr(spark, d):
     """A source stands in for a file, its documents for pages."""
     docs = t.table(spark, d, "documents")
-    pages = docs.select(F.col("source").alias("doc_id"), F.row_number().over(W.partitionBy("source").orderBy("doc_id")).alias("page"), F.substring("text", 1, 26).alias("text"))
+    pages = docs.select(F.col("source").alias("doc_id"), F.row_number().over(W.partitionBy("source").orderBy("doc_id")).alias("page"), "text")
     return files.needs_ocr(pages)
 
 

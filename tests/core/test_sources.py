@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators.store import Table
+from lodestone.plans import lifecycle
 from lodestone.schema import HISTORY
 from lodestone.sources import embeddings, files, records
 from lodestone.streaming.ingest import ingest, watch, windowed_counts
@@ -107,3 +108,10 @@ def test_stream_ingests_each_file_once(spark, tmp_path):
 def test_windows(spark):
     rows = spark.createDataFrame([("2024-01-01 00:01:00", "x", 1.0), ("2024-01-01 00:04:00", "x", 3.0), ("2024-01-01 00:06:00", "x", 5.0)], "ts string, event_type string, value double")
     assert sorted((r.n, r["mean"]) for r in windowed_counts(rows).collect()) == [(1, 5.0), (2, 2.0)]
+
+
+def test_whole_pages_decide_ocr(spark, tmp_path):
+    """One page of much text carries the file; short pages alone don't."""
+    pages = [("carried", "x" * 2000), ("carried", ""), ("carried", None), ("short", "y" * 24), ("short", "y" * 20), ("edge", "z" * 75), ("edge", ""), ("edge", ""), ("edge", "late" * 99), ("late", " "), ("late", ""), ("late", "z" * 74), ("late", "z" * 999)]
+    spark.createDataFrame([(i, s, x) for i, (s, x) in enumerate(pages)], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.ocr for r in lifecycle.q_needs_ocr(spark, str(tmp_path)).collect()} == {"carried": False, "short": True, "edge": False, "late": True}
