@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
+from itertools import takewhile
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
@@ -26,7 +27,10 @@ comments reply replies disqus respond share sharing social related recommended n
 search pagination pager toolbar widget copyright legal complementary contentinfo""".split())
 #: Beginnings of such words, as in commentlist or adslot.
 AGAINST_STARTS = ("comment", "advert", "ads", "sponsor", "cookie", "newsletter", "sidebar", "breadcrumb", "navbar", "navig", "footer", "related", "subscri", "promo", "popup")
-#: A class that begins with one of these speaks of the page, not of the element, as in has-sidebar.
+#: Elements and words that also stand on a wrapper of the whole page, as <form> or sidebar-right do.
+WIDE = frozenset("form fieldset".split())
+WIDE_HINTS = frozenset("nav navbar navigation menu sidebar aside search widget modal overlay popup".split())
+#: From one of these on a class speaks of the page, not of the element, as in has-sidebar or content-with-sidebar.
 ABOUT_PAGE = frozenset("has with without no is".split())
 HEAD = frozenset("header masthead head".split())
 FOR = frozenset("article articlebody main content entry post story".split())
@@ -39,20 +43,34 @@ class Element:
     number: int
     tag: str
     inside: bool = False
-    against: bool = False
     header: bool = False
+    article: bool = False
+    hidden: bool = False
+    hints: tuple[tuple[int, bool], ...] = ()
 
 
 @dataclass
 class Block:
+    """Text with its place.
+
+    ``hints`` has the elements around it that speak against it, outermost first, and whether each may be a
+    wrapper of the page; ``hidden`` holds for elements that are never one.
+    """
+
     text: str
     path: tuple[int, ...]
     tag: str
     inside: bool
-    against: bool
     header: bool
+    article: bool
+    hidden: bool
+    hints: tuple[tuple[int, bool], ...]
     linked: int = 0
 
+    @property
+    def against(self) -> bool:
+        return self.hidden or bool(self.hints)
+
 
 @dataclass
 class _Page:
@@ -75,7 +93,7 @@ class _Page:
         if text:
             top = self.stack[-1]
             linked = len(" ".join("".join(self.links).split()))
-            self.blocks.append(Block(text, tuple(e.number for e in self.stack), top.tag, top.inside, top.against, top.header, linked))
+            self.blocks.append(Block(text, tuple(e.number for e in self.stack), top.tag, top.inside, top.header, top.article, top.hidden, top.hints, linked))
         self.pieces.clear()
         self.links.clear()
         self.linking = False
@@ -93,13 +111,15 @@ class _Page:
                 if name.lower() in ("class", "id", "role", "itemprop"):
                     for word in value.strip("\"'").split():
                         parts = [x.lower() for x in HINT.findall(word)]
-                        hints.update(parts if parts and parts[0] not in ABOUT_PAGE else ())
+                        hints.update(takewhile(lambda x: x not in ABOUT_PAGE, parts))
                 hidden |= name.lower() == "hidden" or name.lower() == "style" and "display:none" in value.replace(" ", "").lower()
-        against = any(x in AGAINST or x.startswith(AGAINST_STARTS) for x in hints)
+        against = {x for x in hints if x in AGAINST or x.startswith(AGAINST_STARTS)}
+        article = tag in ("article", "main")
         self.count += 1
+        own = ((self.count, against <= WIDE_HINTS),) if against or tag in WIDE else ()
         self.stack.append(Element(
-            self.count, tag, up.inside or tag in ("article", "main") or bool(hints & FOR) and not against,
-            up.against or tag in FRAME or against or hidden, up.header or tag == "header" or bool(hints & HEAD and tag != "body"),
+            self.count, tag, up.inside or article or bool(hints & FOR) and not against, up.header or tag == "header" or bool(hints & HEAD and tag != "body"),
+            up.article or article, up.hidden or tag in FRAME - WIDE or hidden, up.hints + own,
         ))
 
     def close(self, tag: str) -> None:

@@ -6,6 +6,9 @@ each other, and blocks under the same parent, are joined by smoothness edges who
 their distance in the document tree.  The minimum cut, found by maximum flow, is the labelling of least
 total cost; the blocks on the source's side are the main text.
 
+A tag or class name that speaks against an element holds for all inside it, unless the element wraps the
+main text, as a page-wide form or a div of class sidebar-right does: see ``lift``.
+
 Edge cases: null or empty html has no text; pages of any length are read whole, cut-off tags and
 character references included; repeated rows are read each; an empty table gives an empty result; ids
 and urls may be null; further columns are not read.
@@ -27,6 +30,8 @@ from lodestone.llm.html_blocks import HEADINGS, Block, blocks
 AGAINST, INSIDE, OUTSIDE, HEADER, INNER_HEADER, HEADING, LINKED, LENGTH, BIAS = -120, 60, -60, -120, -10, 10, -40, 8, -12
 #: Capacity between neighbours one step apart in the tree, halved with each further step.
 SMOOTH = 24
+#: A wrapper holds so many times the text that stands as content without it: at least, and if it may be something else.
+WRAPS, WRAPS_SURELY = 2, 10
 
 
 def content_cost(block: Block, has_main: bool) -> int:
@@ -98,9 +103,45 @@ def minimum_cut(excess: list[int], joined: list[tuple[int, int, int]]) -> list[b
         excess[end] += flow
 
 
+def marked(found: list[Block]) -> bool:
+    """Whether the page says where its main text is, outside of all that speaks against it."""
+    return any(b.inside and not b.against for b in found)
+
+
+def lift(found: list[Block]) -> None:
+    """Take hints off the elements that wrap the main text, the one with most text first.
+
+    A wrapper holds an article or main, or, if its tag or class is one of the layout's, other marks of
+    main text, an h1 or more than half of the page's text; and it holds far more than what is content
+    without it.
+    """
+    while any(b.hints for b in found):
+        has_main = marked(found)
+        free = sum(len(b.text) - b.linked for b in found if not b.against and content_cost(b, has_main) > 0)
+        held: dict[tuple[int, bool], list[Block]] = {}
+        for b in found:
+            if not b.hidden and b.hints:
+                held.setdefault(b.hints[0], []).append(b)
+        own = {element: sum(len(b.text) - b.linked for b in some) for element, some in held.items()}
+        half = sum(len(b.text) - b.linked for b in found) / 2
+
+        def wraps(element: tuple[int, bool]) -> bool:
+            some, wide = held[element], element[1]
+            if not any(b.article or wide and (b.inside or b.tag == "h1") for b in some) and not (wide and own[element] > half):
+                return False
+            return own[element] > free * (WRAPS if wide and not has_main else WRAPS_SURELY)
+
+        wrapper = max(filter(wraps, held), key=own.__getitem__, default=None)
+        if wrapper is None:
+            return
+        for b in held[wrapper]:
+            b.hints = b.hints[1:]
+
+
 def main_text(page: str) -> str:
     found = blocks(page)
-    has_main = any(b.inside for b in found)
+    lift(found)
+    has_main = marked(found)
     kept = minimum_cut([content_cost(b, has_main) for b in found], edges(found))
     return "\n".join(b.text for b, keep in zip(found, kept) if keep)
 

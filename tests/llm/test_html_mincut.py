@@ -64,3 +64,34 @@ def test_rows(spark):
     assert out[1, 0].text == "" and out[None, len(WANT)].text == WANT
     assert out[4, 3000 * 24 - 1].text.count("\n") == 2999
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+SIDEBAR = '<div class="sidebar"><p>Most read stories of the week are here for you</p></div>'
+COMMENTS = '<div id="comments">' + "<article><p>I liked this story a lot, thank you for writing it so well.</p></article>" * 9 + "</div>"
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<form method="post" action="./page.aspx">{}</form>', '<div class="sidebar-right">{}</div>', '<div class="content-with-sidebar">{}</div>', '<div id="search-results">{}</div>',
+    '<form id="aspnetForm"><div class="layout sidebar-left">{}</div></form>', '<div class="single comments-closed">{}</div>', "<main><p>12 May</p><div class='sidebar-right'>{}</div></main>",
+])
+def test_hints_on_a_wrapper_of_the_page(wrapper):
+    want = WANT if "12 May" not in wrapper else "12 May\n" + WANT
+    assert main_text(body(wrapper.format(NAV + AD + ARTICLE + SIDEBAR), FOOTER)) == want
+    if "comments" not in wrapper:
+        assert main_text(body(wrapper.format(NAV + ARTICLE + SIDEBAR + COMMENTS), FOOTER)) == want
+
+
+def test_wrappers_without_an_article():
+    text = ARTICLE.replace("article>", "div>")
+    assert main_text(body("<form>", NAV, text, SIDEBAR, "</form><div>Imprint of us</div>", FOOTER)) == WANT
+    assert main_text(body('<div class="sidebar-right">', NAV, text, SIDEBAR, "</div>", FOOTER)) == WANT
+
+
+@pytest.mark.parametrize("page", [
+    body(NAV, ARTICLE, COMMENTS, FOOTER), body(NAV, ARTICLE.replace("article>", "div>"), COMMENTS, FOOTER),
+    body('<div class="cookie"><div class="content">We use cookies to make this site better for you.</div></div>', ARTICLE.replace("article>", "div>"), FOOTER),
+    body(ARTICLE, '<div class="sidebar">' + "<article><p>Another story that you may like to read as well, if you will.</p></article>" * 4 + "</div>", FOOTER),
+    body('<div style="display:none"><article><p>' + "hidden words " * 500 + "</p></article></div>", ARTICLE),
+])
+def test_hints_that_stay(page):
+    assert main_text(page) == WANT
