@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,3 +217,44 @@ def test_traces(spark):
     r = traces.diagnosis(df, ["a", "b"]).first()
     assert list(r.missing) == ["b"] and r.no_result and not r.has_error
     assert traces.recent(df, keyword="COUNT").count() == 1 and traces.recent(df, trace_type="x").count() == 0
+
+
+def seeded(n, dim, seed):
+    return np.random.default_rng(seed).standard_normal((n, dim)).astype(np.float32)
+
+
+def test_similar_pairs_of_many_vectors(spark):
+    """More rows than a batch of queries may have, against all products."""
+    x = seeded(10_100, 16, 1)
+    x[7], x[10_050] = x[3], -x[3]
+    held = [(i, v.tolist()) for i, v in enumerate(x)] + [(20_000, [0.0] * 16), (20_001, None), (20_002, [1.0, None]), (20_003, [1.0]), (20_004, [2.0]), (None, x[3].tolist()), (3, x[3].tolist())]
+    out = dense.similar_pairs(spark.createDataFrame(held, "id long, embedding array<float>"), threshold=0.85).collect()
+    x = np.concatenate([x, x[3:4]]).astype(np.float64)
+    ids, unit = np.array([*range(10_100), 3]), x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    i, j = np.nonzero(unit @ unit.T >= 0.85)
+    want = sorted((int(a), int(b)) for a, b in zip(ids[i], ids[j]) if a < b)
+    assert sorted((r.left, r.right) for r in out) == sorted([*want, (20_003, 20_004)]) and (3, 7) in want
+    assert all(r.similarity == pytest.approx(float(unit[r.left] @ unit[r.right]), abs=6e-5) for r in out if r.left < 20_000)
+
+
+def test_dense_of_many_queries(spark):
+    q, x = seeded(10_050, 8, 2), seeded(60, 8, 3)
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)] + [(20_000, None), (20_001, [1.0])], "query_id long, vector array<float>")
+    held = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(60, [0.0] * 8), (61, None)], "chunk_id long, embedding array<float>")
+    got = {(r.query_id, r["rank"]): r.chunk_id for r in dense.topk(held, asked, k=3).collect()}
+    unit = lambda v: v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+    best = np.argsort(-(unit(q.astype(np.float64)) @ unit(x.astype(np.float64)).T), axis=1)[:, :3]
+    assert got == {(i, r + 1): int(best[i, r]) for i in range(len(q)) for r in range(3)}
+
+
+def test_blocks_of_strings(spark, monkeypatch):
+    """Ids of another kind, and several blocks of either side, give what one block gives."""
+    x = seeded(90, 3, 4)
+    rows_ = spark.createDataFrame([(f"é{i % 7}_{i}", v.tolist()) for i, v in enumerate(x)], "id string, embedding array<double>")
+    asked, held = rows_.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), rows_.withColumnRenamed("id", "chunk_id")
+    pairs = lambda: sorted(map(tuple, dense.similar_pairs(rows_, threshold=0.8).collect()))
+    found = lambda: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in dense.topk(held, asked, k=4).collect())
+    once = pairs(), found()
+    monkeypatch.setattr(dense, "BLOCK", 16)
+    monkeypatch.setattr(dense, "MOST_ROWS", 20)
+    assert (pairs(), found()) == once and len(once[0]) > 50 and all(a < b for a, b, _ in once[0])
