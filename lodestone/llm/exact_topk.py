@@ -33,7 +33,8 @@ SEGMENTS = (1, 4, 16)
 AT_ONCE = 64
 #: Candidates with the best bounds whose exact scores set the first threshold, as a multiple of k.
 PROBES = 3
-#: Bounds are computed in single precision; thresholds give way by this share of the largest bound.
+#: Bounds are computed in single precision; thresholds give way by this share of the largest bound, or, where
+#: numbers are too large to be exact in a double, of the product of the two vectors' norms.
 LOOSE = 1e-4
 #: Whole numbers below this are exact in a double.
 EXACT = float(2**53)
@@ -58,43 +59,75 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
 
 
 def exact_scores(q: np.ndarray, x: np.ndarray, qi: np.ndarray, xi: np.ndarray) -> np.ndarray:
-    if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < EXACT:
+    """Scores of pairs: in doubles where they are exact, else in whole numbers held at the limits of 64 bits."""
+
+    def fast(qi: np.ndarray, xi: np.ndarray) -> np.ndarray:
         parts = [np.einsum("ij,ij->i", q[qi[s : s + 65_536]], x[xi[s : s + 65_536]]) for s in range(0, len(qi), 65_536)]
         return np.concatenate([*parts, np.zeros(0)]).astype(np.int64)
-    held = lambda v: [int(a) for a in v]
-    sums = [sum(a * b for a, b in zip(held(q[i]), held(x[j]))) for i, j in zip(qi, xi)]
-    return np.array([max(-(2**63), min(2**63 - 1, s)) for s in sums], dtype=np.int64)
+
+    def slow(qi: np.ndarray, xi: np.ndarray) -> np.ndarray:
+        held = lambda v: [int(a) for a in v]
+        sums = [sum(a * b for a, b in zip(held(q[i]), held(x[j]))) for i, j in zip(qi, xi)]
+        return np.array([max(-(2**63), min(2**63 - 1, s)) for s in sums], dtype=np.int64)
+
+    if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < EXACT:
+        return fast(qi, xi)
+    short = np.abs(q).max(axis=1)[qi] * np.abs(x).max(axis=1)[xi] * q.shape[1] < EXACT
+    scores = np.empty(len(qi), dtype=np.int64)
+    scores[short], scores[~short] = fast(qi[short], xi[short]), slow(qi[~short], xi[~short])
+    return scores
 
 
+def unknown_last(bound: np.ndarray) -> tuple[np.ndarray, float]:
+    """Bounds, infinite where they went beyond what their precision holds, and the largest size of the others."""
+    size = float(np.abs(bound).max(initial=0))
+    if math.isfinite(size):
+        return bound, size
+    known = np.isfinite(bound)
+    return np.where(known, bound, np.inf), float(np.abs(bound[known]).max(initial=0))
+
+
+@np.errstate(over="ignore", invalid="ignore")
 def block_topk(q: np.ndarray, q_rows: np.ndarray, x: np.ndarray, x_rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index of the query, index of the candidate and score of each query's best k of one block.
 
     A threshold is the k-th best exact score of the candidates whose bounds are best, at the coarsest
-    and at the finest level.  Candidates that no query of a batch can still want leave the batch.
+    and at the finest level.  Candidates that no query of a batch can still want leave the batch; those
+    whose bound isn't finite stay.  A k-th best score at the lower limit of 64 bits is no threshold, as all
+    below it tie with it.
     """
     levels = [(statistics(q, s).astype(np.float32), statistics(x, s).astype(np.float32).T) for s in SEGMENTS]
     by_row = np.argsort(x_rows)
     at = np.minimum(np.searchsorted(x_rows[by_row], q_rows), len(x_rows) - 1)
     own = np.where(x_rows[by_row[at]] == q_rows, by_row[at], -1)
     whole = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < EXACT
+    far_q, far_x = [np.sqrt((v * v).sum(axis=1)) for v in (q, x)]
+
+    def loose(size: float, some: slice, columns: np.ndarray) -> float | np.ndarray:
+        if whole:
+            return LOOSE * size
+        by_pair = LOOSE * far_q[some, None] * far_x[columns]
+        return np.where(np.isnan(by_pair), np.inf, by_pair)
+
     found = []
     for start in range(0, len(q), AT_ONCE):
         some = slice(start, start + AT_ONCE)
         batch, mine = q[some], own[some, None]
         threshold, columns = np.full(len(batch), -np.inf), np.arange(len(x))
         for left, right in levels:
-            bound = left[some] @ (right if len(columns) == len(x) else right[:, columns])
-            slack = LOOSE * float(np.abs(bound).max(initial=0)) + 1e-3
+            bound, size = unknown_last(left[some] @ (right if len(columns) == len(x) else right[:, columns]))
+            slack = loose(size, some, columns) + 1e-3
             probes = min(PROBES * k, len(columns))
             if probes >= k and right.shape[0] in (2 * SEGMENTS[0], 2 * SEGMENTS[-1]):
                 best = columns[np.argpartition(bound, len(columns) - probes, axis=1)[:, -probes:]]
                 scores = exact_scores(batch, x, np.repeat(np.arange(len(batch)), probes), best.ravel()).astype(float).reshape(best.shape)
                 scores[best == mine] = -np.inf
                 threshold = np.maximum(threshold, np.partition(scores, probes - k, axis=1)[:, probes - k])
+                threshold[threshold <= -(2.0**63)] = -np.inf
             columns = columns[(bound >= threshold[:, None] - slack).any(axis=0)]
-        close = batch @ x[columns].T
-        loose = 0 if whole else LOOSE * float(np.abs(close).max(initial=0))
-        qi, xi = np.nonzero((close >= threshold[:, None] - loose) & (columns[None, :] != mine))
+        close, _ = unknown_last(batch @ x[columns].T)
+        slack = 0 if whole else loose(0, some, columns)
+        qi, xi = np.nonzero((close >= threshold[:, None] - slack) & (columns[None, :] != mine))
         scores = close[qi, xi].astype(np.int64) if whole else exact_scores(batch, x, qi, columns[xi])
         xi = columns[xi]
         order = np.lexsort((x_rows[xi], ids[xi], ~scores, qi))

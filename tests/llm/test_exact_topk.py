@@ -33,3 +33,17 @@ def test_against_all_pairs(spark, dim, scale):
 
 def test_empty_table(spark):
     assert search(spark.createDataFrame([], "vec_id long, embedding array<float>"), lambda v: v % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("mark", [3e38, 3.4028234663852886e38, -3e38, 1e200])
+def test_components_near_the_limit(spark, mark):
+    """Rows of a mark for what is missing, among others, empty no query's results; scores keep to 64 bits."""
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(20)]) for i in range(400)]
+    rows += [(400, [mark] * 20), (401, [mark if j % 2 else -mark for j in range(20)]), (402, [mark] + [0.0] * 19), (420, [0.0] * 20)]
+    out = search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda v: v % 20 == 0, k=7, candidate_block=150).collect()
+    held = [(q, r, i, max(-(2**63), min(2**63 - 1, s))) for q, r, i, s in brute(rows, len(rows), 20)]
+    want = []
+    for q in {q for q, *_ in held}:
+        want += [(q, r, i, s) for r, (_, i, s) in enumerate(sorted((-s, i, s) for a, _, i, s in held if a == q)[:7], 1)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in out) == sorted(want)
