@@ -4,8 +4,10 @@ Every rolling k-gram of a document's words joins, by hash and then by its words,
 same k-gram in the templates.  A hit at word p of the document and word t of a template votes for the
 diagonal p - t.  Votes are counted per document, template and diagonal; diagonals at most ``drift``
 apart merge (a word left out or put in moves the rest to the next diagonal); a merged group is verified
-when it holds enough of the template's k-grams in a span not much longer than the template.  As k-grams
-are compared word by word, a diagonal that has all of a phrase's k-grams is a place of that phrase.
+when it holds enough of the template's k-grams in a span not much longer than the template, or when
+neighbours in it, at most ``2 * drift`` apart and so in such a span, do: a notice that is repeated back
+to back merges into a long group, and counts as one place does.  As k-grams are compared word by word, a
+diagonal that has all of a phrase's k-grams is a place of that phrase.
 
 Edge cases: a null or empty text has no words, no places, empty labels and score 0; texts shorter than
 k words cannot hit; texts of any length are scanned whole; rows that repeat an id are scanned each; ids
@@ -69,10 +71,13 @@ def scan_licenses(
     along = W.partitionBy("row", "template").orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > drift).cast("int"), F.lit(1))
     grouped = diagonals.withColumn("group", F.sum(F.when(F.col("base"), 1).otherwise(apart)).over(along.rowsBetween(W.unboundedPreceding, 0)))
+    near = F.filter(F.collect_list(F.struct("group", "at")).over(along.rangeBetween(0, drift * 2)), lambda x: x["group"] == F.col("group"))
+    grouped = grouped.withColumn("near", F.size(F.array_distinct(F.flatten(F.transform(near, lambda x: x["at"])))))
     spans = grouped.groupBy(*key, "group").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("votes"), (F.max("last") + k - F.min("first")).alias("n_span"), F.min("diagonal").alias("diagonal"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("votes"), F.max("near").alias("near"), (F.max("last") + k - F.min("first")).alias("n_span"), F.min("diagonal").alias("diagonal"),
     )
-    share = F.when(F.col("n_span") <= F.col("n_template") + drift * 2, F.col("votes") / (F.col("n_template") - k + 1))
+    votes = F.when(F.col("n_span") <= F.col("n_template") + drift * 2, F.col("votes")).otherwise(F.col("near"))
+    share = votes / (F.col("n_template") - k + 1)
     spans = spans.withColumn("share", F.coalesce(share, F.lit(0.0)))
     place = F.when(F.col("base") & (F.col("share") == 1), F.col("diagonal"))
     base = F.when(F.col("base") & (F.col("share") == 1), F.col("label"))

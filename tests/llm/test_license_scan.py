@@ -48,3 +48,12 @@ def test_notices(spark, text, labels):
 
 def test_empty_table(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string"), BASE).count() == 0
+
+
+def test_notices_back_to_back(spark):
+    """A repeated footer line, and a notice with a word put in that others follow, keep their labels and scores."""
+    lucky = "Licensed under the lucky GNU General Public License, version 3. "
+    rows = [(n, "All rights reserved. " * n) for n in (1, 3, 4, 5, 50, 5000)] + [(9001, "some words " + "all rights reserved " * 4 + "and more words"), (9002, "all rights " * 9), (9003, lucky * 6)]
+    out = {r.doc_id: (r.labels, r.score) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), NOTICES).collect()}
+    assert out.pop(9002) == ("", 0) and out.pop(9003)[1] == pytest.approx(5 / 7)
+    assert len(out) == 7 and set(out.values()) == {("all-rights-reserved", 1.0)}
