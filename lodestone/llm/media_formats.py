@@ -6,12 +6,16 @@ that starts there, or 0 if its structure or its lengths are not those of the for
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from functools import lru_cache
 
 import ahocorasick
 
+PDF_END = re.compile(rb"startxref\s+(\d{1,15})\s+%%EOF")
+PDF_TABLE = re.compile(rb"xref\b|\d+\s+\d+\s+obj\b")
+
 
 def png(data: bytes, at: int) -> int:
     here, seen = at + 8, 0
@@ -121,18 +125,38 @@ def ogg(data: bytes, at: int) -> int:
 
 
 def pdf(data: bytes, at: int) -> int:
-    start = data.find(b"startxref", at)
-    end = data.find(b"%%EOF", start) if start >= 0 else -1
+    """Up to the last end mark before the next header, as a file that was saved again holds several.
+
+    A header before any end mark is that of a PDF stored inside: then the end is the first mark whose
+    cross-reference table lies where it says, counted from here, or a later one before a further header.
+    """
+    start, stop = data.find(b"startxref", at), data.find(b"%PDF-", at + 5)
+    if 0 <= stop < start:
+        own = (m.end() for m in PDF_END.finditer(data, start) if PDF_TABLE.match(data, at + int(m[1])) and at + int(m[1]) < m.start())
+        if end := next(own, 0):
+            start, stop = end - 5, data.find(b"%PDF-", end)
+    if start < 0:
+        return 0
+    end = data.rfind(b"%%EOF", start, stop if stop >= 0 else len(data))
+    end = end if end >= 0 else data.find(b"%%EOF", start)
     return end + 5 - at if end >= 0 else 0
 
 
+@lru_cache(maxsize=1)
+def archives(data: bytes) -> dict[int, int]:
+    """Place and length of every archive: an end record tells where its archive begins."""
+    found: dict[int, int] = {}
+    end = data.find(b"PK\x05\x06")
+    while 0 <= end <= len(data) - 22:
+        size, offset, comment = struct.unpack_from("<IIH", data, end + 12)
+        if end + 22 + comment <= len(data):
+            found.setdefault(end - size - offset, end + 22 + comment - (end - size - offset))
+        end = data.find(b"PK\x05\x06", end + 4)
+    return found
+
+
 def archive(data: bytes, at: int) -> int:
-    end = data.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(data):
-        return 0
-    size, offset, comment = struct.unpack_from("<IIH", data, end + 12)
-    length = end + 22 + comment - at
-    return length if at + offset + size == end and at + length <= len(data) else 0
+    return archives(data).get(at, 0)
 
 
 #: Media type, magic bytes.

@@ -72,3 +72,33 @@ def test_query_round_trip(spark, tmp_path):
         assert rows[i].tail_crc32 == zlib.crc32(padded[-32:]) and rows[i].media_sha256 == hashlib.sha256(write_wav(padded)).hexdigest()
     assert rows[3].feature == rows[5].feature and rows[3].feature.startswith("type=audio/wav")
     assert store_audio(spark.createDataFrame([], "k long, p binary"), key="k", payload="p").count() == 0
+
+
+def document(inner=b"", saved=1):
+    """A PDF with a stream in it, saved so many times; each end mark says where its table lies."""
+    out = b"%PDF-1.4\n1 0 obj\nstream\n" + inner + b"\nendstream\n"
+    for _ in range(saved):
+        place = len(out)
+        out += b"xref\n0 1\ntrailer\nstartxref\n%d\n%%%%EOF\n" % place
+    return out[:-1]
+
+
+def test_pdfs_with_several_end_marks():
+    pdfs = lambda data: [(at, n) for kind, at, n in media(data) if kind == "application/pdf"]
+    for saved in (1, 2, 3):
+        data = document(saved=saved)
+        assert pdfs(b"padding" + data + b" tail") == [(7, len(data))]
+        assert pdfs(data + document()) == [(0, len(data)), (len(data), len(document()))]
+        outer = document(inner=document(saved=2), saved=saved)
+        assert pdfs(outer)[0] == pdfs(outer + data)[0] == (0, len(outer))
+
+
+def test_archives_in_an_archive():
+    out, inner = io.BytesIO(), archive()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a.zip", inner)
+        z.writestr("b.zip", inner)
+        z.comment = b"said"
+    outer = out.getvalue()
+    zips = [(at, n) for kind, at, n in media(b"padding" + outer + b"tail") if kind == "application/zip"]
+    assert zips == [(7, len(outer)), (7 + outer.index(inner), len(inner)), (7 + outer.rindex(inner), len(inner))]
