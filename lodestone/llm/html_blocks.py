@@ -15,7 +15,9 @@ HINT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 BLOCK = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary
 table tbody td tfoot th thead tr ul""".split())
-UNSHOWN = frozenset("script style title template noscript iframe textarea svg math object audio video canvas select noframes".split())
+UNSHOWN = frozenset("script style title template noscript iframe textarea svg annotation annotation-xml object audio video canvas select noframes".split())
+#: Those of raw text: without an end tag they go to the end of the page, as in browsers.
+RAW = frozenset("script style title textarea noscript iframe noframes".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An opening tag of the first kind ends open ones of the second.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -129,9 +131,25 @@ class _Page:
                 return
 
 
+def ends(page: str, tag: str) -> dict[int, int]:
+    """Place after the opening tag, and after its own end tag, of every element of the tag that has one."""
+    inner = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|title|textarea)\b[^>]*(?<!/)>.*?(?:</\1\b|\Z)|<(/?){re.escape(tag)}(?![\w-])(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*(?:>|\Z)", re.I | re.S)
+    found, opened = {}, []
+    for m in inner.finditer(page):
+        if m[2] is None:
+            continue
+        if m[2]:
+            if opened:
+                found[opened.pop()] = m.end()
+        elif not m[0].rstrip("> \n").endswith("/"):
+            opened.append(m.end())
+    return found
+
+
 def blocks(page: str) -> list[Block]:
     """The text between block-level tags, in page order; inline tags and line breaks don't end a block."""
     held, at = _Page(), 0
+    ended: dict[str, dict[int, int]] = {}
     while (token := TOKEN.search(page, at)) is not None:
         held.say(page[at : token.start()])
         at = token.end()
@@ -141,7 +159,11 @@ def blocks(page: str) -> list[Block]:
         if tag in UNSHOWN and not closing:
             if tag in BLOCK:
                 held.flush()
-            if not attributes.rstrip().endswith("/"):
+            if tag not in RAW:
+                if tag not in ended:
+                    ended[tag] = ends(page, tag)
+                at = ended[tag].get(at, at)
+            elif not attributes.rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else len(page)
         elif tag == "br":

@@ -95,3 +95,18 @@ def test_wrappers_without_an_article():
 ])
 def test_hints_that_stay(page):
     assert main_text(page) == WANT
+
+
+@pytest.mark.parametrize("tag", ["video", "audio", "object", "svg", "canvas", "select", "template"])
+def test_missing_end_tags(tag):
+    """An element without its end tag hides nothing that follows; one with it is skipped whole, others inside too."""
+    first, rest = ARTICLE.split("<p>Second", 1)
+    whole = f"<{tag} a='>'>unseen <{tag}>words</{tag}> too</{tag}>"
+    assert main_text(body(NAV, f"{first}<{tag} x='1'><p>Second{rest}", FOOTER)) == WANT
+    assert main_text(body(NAV, f"{first}<{tag}><p>Second{rest}{whole}", FOOTER)) == WANT
+    assert main_text(body(NAV, f"{first}{whole}<!-- </{tag}> <{tag}> --><{tag}/><p>Second{rest}", FOOTER)) == WANT
+
+
+def test_formulas_are_text():
+    page = "<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='t'>\\x</annotation></math> holds.<p>It <math><mi>y</mi> ends.</article>"
+    assert main_text(page) == "So x=2 holds.\nIt y ends."
