@@ -2,24 +2,35 @@
 
 Labelled page outcomes are counted per host.  Counts shrink through three beta-binomial priors: a
 suffix's prior is the corpus rate, a registered domain's is its suffix, a host's is its domain.  How
-strongly a level shrinks is estimated from the spread of its groups (method of moments).  A host is
-blocked when the lower posterior bound of its bad rate reaches ``max_bad``.
+strongly a level shrinks is estimated from the spread of its groups (method of moments).  A host's bad
+rate then has a beta posterior; the host is blocked when its lower quantile reaches ``max_bad``.
+
+Domains are read from the host without user names, ports and final dots; an address is a domain of its own
+under the empty suffix.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and is judged like any other
 host; a null or unmatched page id is an unlabelled page; labels that repeat an id count once, as bad if
-any of them is; a null label value is no label; of fitting rules of equal length the one listed last wins; repeated pages are judged, and counted, once per row;
-empty tables give empty results; further columns of either table are not read.
+any of them is; a null label value is no label; of fitting rules of equal length the one listed last wins; repeated pages are judged, and counted,
+once per row; empty tables give empty results; further columns of either table are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from math import lgamma
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Public suffixes of two labels under which domains are registered.
-TWO_PART_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br", "co.in", "co.za", "com.cn")
+from lodestone.llm.common import map_arrow
+
+#: Labels under which domains are registered where the last label is a country's, as in co.uk.
+SECOND_LEVELS = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "mil", "ne", "net", "nom", "or", "org", "sch")
+TWO_PART = rf"(^|\.)({'|'.join(SECOND_LEVELS)})\.[a-z]{{2}}$"
+ADDRESS = r"^([0-9]{1,3}\.){3}[0-9]{1,3}$|^\["
 #: Spread estimates are held in this range: prior weights from 1 to 999 pages.
 LEAST_RHO, MOST_RHO = 0.001, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,14 +59,55 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s).*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def named(host: Column) -> Column:
+    """The host without a user's name, a port and final dots."""
+    return F.regexp_replace(F.regexp_replace(host, r"^(?s).*@", ""), r":[0-9]*$|\.+$|\.+:[0-9]*$", "")
+
+
 def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_PART_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    name = named(host)
+    two = F.when(name.rlike(TWO_PART), F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
+    return F.when(name.rlike(ADDRESS), "").otherwise(two)
 
 
 def domain_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_PART_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    name = named(host)
+    two = F.when(name.rlike(TWO_PART), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+    return F.when(name.rlike(ADDRESS), name).otherwise(two)
+
+
+def beta_below(x: np.ndarray, a: np.ndarray, b: np.ndarray, log_beta: np.ndarray) -> np.ndarray:
+    """The share of a beta distribution below x, by the continued fraction of the incomplete beta function."""
+    swap = x > (a + 1) / (a + b + 2)
+    x, a, b = np.where(swap, 1 - x, x), np.where(swap, b, a), np.where(swap, a, b)
+    c, d = np.ones_like(x), 1 / (1 - (a + b) * x / (a + 1))
+    total, m = d.copy(), 0
+    while True:
+        m += 1
+        for up in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + up * d), 1 + up / c
+            total *= d * c
+        if np.abs(d * c - 1).max(initial=0) < 1e-13:
+            break
+    with np.errstate(divide="ignore", invalid="ignore"):
+        part = np.where(x > 0, np.exp(a * np.log(x) + b * np.log1p(-x) - log_beta) * total / a, 0.0)
+    return np.where(swap, 1 - part, part)
+
+
+def beta_quantile(share: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where ``share`` of each beta distribution lies below, by Newton's steps held in a shrinking interval."""
+    log_beta = np.array([lgamma(u) + lgamma(v) - lgamma(u + v) for u, v in zip(a, b)])
+    low, high, x = np.zeros_like(a), np.ones_like(a), a / (a + b)
+    for _ in range(100):
+        off = beta_below(x, a, b, log_beta) - share
+        low, high = np.where(off < 0, x, low), np.where(off < 0, high, x)
+        with np.errstate(all="ignore"):
+            to = x - off / np.exp((a - 1) * np.log(x) + (b - 1) * np.log1p(-x) - log_beta)
+        to = np.where((to > low) & (to < high), to, np.where(low > 0, (low + high) / 2, high * 1e-3))
+        if (np.abs(to - x) <= 1e-12 * x).all():
+            return to
+        x = to
+    return x
 
 
 def _spread(groups: DataFrame, name: str) -> DataFrame:
@@ -70,12 +122,12 @@ def _spread(groups: DataFrame, name: str) -> DataFrame:
     return seen.agg((1 / rho - 1).alias(name))
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, *, z: float = 1.645) -> DataFrame:
-    """host, domain, suffix, n, bad and the lower and upper posterior bound of the bad rate.
+def host_reputation(pages: DataFrame, outcomes: DataFrame, *, tail: float = 0.05) -> DataFrame:
+    """host, domain, suffix, n, bad and the bounds of the bad rate that leave ``tail`` of the posterior on each side.
 
     ``pages`` has page_id and host, ``outcomes`` has page_id and bad (0 or 1).  Levels above the host
     are aggregated from host rows, so that no step sees a page twice; the only rows that are broadcast
-    are the one-row priors of each level.
+    are the one-row priors of each level.  Quantiles are found a batch of hosts at a time.
     """
     labels = outcomes.filter("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     hosts = (
@@ -95,12 +147,16 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, *, z: float = 1.645)
     domains = shrunk(domains.join(suffixes.select("suffix", F.col("post").alias("rate")), "suffix"), "post")
     hosts = hosts.join(domains.select("domain", "suffix", F.col("post").alias("rate")), ["domain", "suffix"])
     hosts = shrunk(hosts, "mean").withColumn("weight", F.col("n") + F.col("k"))
-    sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
-    return hosts.select(
-        "host", "domain", "suffix", "n", "bad",
-        F.greatest(F.lit(0.0), F.col("mean") - z * sd).alias("bad_low"),
-        F.least(F.lit(1.0), F.col("mean") + z * sd).alias("bad_high"),
-    )
+    said = ["host", "domain", "suffix", "n", "bad"]
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mean, weight = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("mean", "weight"))
+            a, b = np.maximum(mean * weight, 1e-9), np.maximum((1 - mean) * weight, 1e-9)
+            made = [pa.array(beta_quantile(share, a, b)) for share in (tail, 1 - tail)]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, said), *made], names=[*said, "bad_low", "bad_high"])
+
+    return map_arrow(hosts.select(*said, "mean", "weight"), bounds, "host string, domain string, suffix string, n long, bad long, bad_low double, bad_high double")
 
 
 def matching_rule(host: Column, path: Column, rules: list[Rule], value) -> Column:
@@ -114,7 +170,7 @@ def matching_rule(host: Column, path: Column, rules: list[Rule], value) -> Colum
 
 def filter_urls(
     pages: DataFrame, outcomes: DataFrame, rules: list[Rule], *, page_id: str = "page_id", url: str = "url",
-    max_bad: float = 0.5, z: float = 1.645,
+    max_bad: float = 0.5, tail: float = 0.05,
 ) -> DataFrame:
     """page_id, host, path, rule and verdict of every row of ``pages``.
 
@@ -122,7 +178,7 @@ def filter_urls(
     method join by host; only blocked hosts take part, as a plain equi-join whose hot hosts Spark splits.
     """
     judged = pages.select(F.col(page_id).alias("page_id"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
-    blocked = host_reputation(judged, outcomes, z=z).filter(F.col("bad_low") >= max_bad).select("host", F.lit("block").alias("method"))
+    blocked = host_reputation(judged, outcomes, tail=tail).filter(F.col("bad_low") >= max_bad).select("host", F.lit("block").alias("method"))
     host, path = F.col("host"), F.col("path")
     return judged.join(blocked, "host", "left").select(
         "page_id", "host", "path",

@@ -6,10 +6,12 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm.queries.op2 import RULES
-from lodestone.llm.url_reputation import Rule, filter_urls, host_reputation
+from lodestone.llm.url_reputation import Rule, beta_quantile, domain_of, filter_urls, host_reputation, suffix_of
 
 
 def parts(url):
@@ -72,6 +74,32 @@ def posterior(rows):
     return level(hosts, {h: d[".".join(h.split(".")[-2:])][0] for h in hosts})
 
 
+def below(x, a, b, n=200_000):
+    """The share of Beta(a, b) below x, by the midpoints of the log odds."""
+    grid = np.linspace(-400, 400, 2 * n)
+    log = a * -np.logaddexp(0, -grid) + b * -np.logaddexp(0, grid)
+    weight = np.exp(log - log.max())
+    return float(weight[grid <= math.log(x / (1 - x))].sum() / weight.sum())
+
+
+def test_quantiles():
+    a, b = np.array([0.5, 1.0, 3.2, 40.0, 5000.0, 1e6, 0.3]), np.array([0.5, 2.0, 0.7, 900.0, 5000.0, 30.0, 7.0])
+    for share in (0.05, 0.5, 0.95):
+        for x, u, v in zip(beta_quantile(share, a, b), a, b):
+            assert 0 <= x <= 1 and (x < 1e-9 or below(x, u, v, 400_000) == pytest.approx(share, abs=2e-3))
+    assert beta_quantile(0.05, np.array([1.0]), np.array([1.0]))[0] == pytest.approx(0.05)
+    assert beta_quantile(0.05, np.array([3.0]), np.array([1.0]))[0] == pytest.approx(0.05 ** (1 / 3))
+
+
+def test_domains_and_suffixes(spark):
+    want = {
+        "a.b.example.com": ("example.com", "com"), "a.example.co.uk": ("example.co.uk", "co.uk"), "x.com.mx:8080": ("x.com.mx", "com.mx"), "user:pw@shop.example.org:80": ("example.org", "org"),
+        "example.net.": ("example.net", "net"), "10.0.0.1": ("10.0.0.1", ""), "10.0.0.1:81": ("10.0.0.1", ""), "[2001:db8::1]:443": ("[2001:db8::1]", ""), "localhost": ("localhost", "localhost"), "": ("", ""), "web.de": ("web.de", "de"),
+    }
+    rows = spark.createDataFrame([(h,) for h in want], "host string").select("host", domain_of(F.col("host")).alias("d"), suffix_of(F.col("host")).alias("s")).collect()
+    assert {r.host: (r.d, r.s) for r in rows} == want
+
+
 def test_reputation_and_method_verdicts(spark):
     rng = random.Random(4)
     rate = {f"h{i}.d{i % 7}.{'org' if i % 2 else 'info'}": rng.choice([0.02, 0.1, 0.95]) for i in range(40)}
@@ -82,8 +110,8 @@ def test_reputation_and_method_verdicts(spark):
     want = posterior([(h, max(b or 0, 0) if i == 0 else b) for i, (h, b) in enumerate(rows)])
     got = {r.host: r for r in host_reputation(pages, outcomes).collect()}
     for host, (mean, weight) in want.items():
-        low = max(0.0, mean - 1.645 * math.sqrt(mean * (1 - mean) / (weight + 1)))
-        assert got[host].bad_low == pytest.approx(low, abs=1e-9)
+        assert below(got[host].bad_low, mean * weight, (1 - mean) * weight) == pytest.approx(0.05, abs=1e-3)
+        assert below(got[host].bad_high, mean * weight, (1 - mean) * weight) == pytest.approx(0.95, abs=1e-3)
     urls = pages.selectExpr("page_id", "concat('http://', host, '/p') as url")
     verdicts = {r.host: r.verdict for r in filter_urls(urls, outcomes, [Rule("allow", "none", "/")]).collect()}
     assert verdicts == {h: "block" if got[h].bad_low >= 0.5 else "allow" for h in want} and set(verdicts.values()) == {"allow", "block"}
