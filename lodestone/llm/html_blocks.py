@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from itertools import takewhile
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: What follows a tag's name; a quote opens a value only after an equals sign.
+REST = r"""((?:[^>=]|=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))?)*)(?:>|\Z)"""
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)" + REST, re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
 HINT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -23,64 +26,99 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements, and words in class, id and role, that hold no main text, or hold it.
 FRAME = frozenset("nav footer aside form menu dialog button fieldset".split())
-AGAINST = frozenset("""ad ads adv advert advertisement adverts advertising sponsor sponsored promo promotion banner cookie cookies consent
-gdpr notice notices alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer foot comment
-comments reply replies disqus respond share sharing social related recommended newsletter subscribe subscription signup login
-search pagination pager toolbar widget copyright legal complementary contentinfo""".split())
-#: Beginnings of such words, as in commentlist or adslot.
-AGAINST_STARTS = ("comment", "advert", "ads", "sponsor", "cookie", "newsletter", "sidebar", "breadcrumb", "navbar", "navig", "footer", "related", "subscri", "promo", "popup")
+AGAINST = frozenset("""ad ads adv advert advertisement adverts advertising adsense adsbygoogle sponsor sponsored promo promotion banner
+cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar aside
+footer foot comment comments reply replies disqus respond share sharing social related recommended newsletter subscribe subscription
+signup login search pagination pager toolbar widget copyright complementary contentinfo""".split())
+#: Such words written together, as commentlist or adslot: one of the first, then one of the second.
+AGAINST_STARTS = "ads? advert comments? sponsor cookies? newsletter sidebar breadcrumbs? nav navbar navigation footer related subscribe promo popup".split()
+AGAINST_ENDS = """area author bar block body bottom box column consent container content count entry field footer form header holder inner item
+items label left line link links list main menu message meta nav navigation note notice overlay panel post posts region reply right row section
+signup slot space text thread title toggle top unit widget wrap wrapper zone""".split()
+COMPOUND = re.compile(f"(?:{'|'.join(AGAINST_STARTS)})(?:{'|'.join(AGAINST_ENDS)})s?")
+#: Words that speak against an element only where they are the whole name: legal, but not legal-analysis.
+AGAINST_ALONE = frozenset("legal".split())
 #: Elements and words that also stand on a wrapper of the whole page, as <form> or sidebar-right do.
 WIDE = frozenset("form fieldset".split())
-WIDE_HINTS = frozenset("nav navbar navigation menu sidebar aside search widget modal overlay popup".split())
+WIDE_HINTS = frozenset("nav navbar navigation menu sidebar aside search widget modal overlay popup legal social".split())
 #: From one of these on a class speaks of the page, not of the element, as in has-sidebar or content-with-sidebar.
 ABOUT_PAGE = frozenset("has with without no is".split())
 HEAD = frozenset("header masthead head".split())
 FOR = frozenset("article articlebody main content entry post story".split())
 
 
-@dataclass
+@dataclass(eq=False)
+class Hint:
+    """An element that speaks against all inside it, the next such one around it, and whether it may be a wrapper of the page."""
+
+    outer: Hint | None
+    wide: bool
+    lifted: bool = False
+
+
+@dataclass(eq=False)
 class Element:
     """An open element; what it says holds for all inside it."""
 
-    number: int
+    up: Element | None
     tag: str
+    depth: int = 0
     inside: bool = False
     header: bool = False
     article: bool = False
     hidden: bool = False
-    hints: tuple[tuple[int, bool], ...] = ()
+    hint: Hint | None = None
 
 
-@dataclass
+@dataclass(eq=False)
 class Block:
     """Text with its place.
 
-    ``hints`` has the elements around it that speak against it, outermost first, and whether each may be a
-    wrapper of the page; ``hidden`` holds for elements that are never one.
+    The hint is the innermost that speaks against it, and hints are lifted from the outermost on; ``hidden``
+    elements never wrap the page.
     """
 
     text: str
-    path: tuple[int, ...]
-    tag: str
-    inside: bool
-    header: bool
-    article: bool
-    hidden: bool
-    hints: tuple[tuple[int, bool], ...]
+    place: Element
     linked: int = 0
 
+    @property
+    def tag(self) -> str:
+        return self.place.tag
+
+    @property
+    def inside(self) -> bool:
+        return self.place.inside
+
+    @property
+    def header(self) -> bool:
+        return self.place.header
+
+    @property
+    def article(self) -> bool:
+        return self.place.article
+
+    @property
+    def hidden(self) -> bool:
+        return self.place.hidden
+
+    @property
+    def hint(self) -> Hint | None:
+        hint = self.place.hint
+        return None if hint is None or hint.lifted else hint
+
     @property
     def against(self) -> bool:
-        return self.hidden or bool(self.hints)
+        return self.place.hidden or self.hint is not None
 
 
 @dataclass
 class _Page:
     blocks: list[Block] = field(default_factory=list)
-    stack: list[Element] = field(default_factory=lambda: [Element(0, "")])
+    stack: list[Element] = field(default_factory=lambda: [Element(None, "")])
+    opened: Counter = field(default_factory=Counter)
     pieces: list[str] = field(default_factory=list)
     links: list[str] = field(default_factory=list)
-    count: int = 0
     linking: bool = False
 
     def say(self, raw: str) -> None:
@@ -93,47 +131,49 @@ class _Page:
     def flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
         if text:
-            top = self.stack[-1]
-            linked = len(" ".join("".join(self.links).split()))
-            self.blocks.append(Block(text, tuple(e.number for e in self.stack), top.tag, top.inside, top.header, top.article, top.hidden, top.hints, linked))
+            self.blocks.append(Block(text, self.stack[-1], len(" ".join("".join(self.links).split()))))
         self.pieces.clear()
         self.links.clear()
         self.linking = False
 
     def open(self, tag: str, attributes: str) -> None:
         if self.stack[-1].tag == "p":
-            self.stack.pop()
+            self.pop()
         while self.stack[-1].tag in ENDS.get(tag, ()):
-            self.stack.pop()
+            self.pop()
         if tag == "hr":
             return
-        up, hints, hidden = self.stack[-1], set(), False
+        up, hints, against, hidden = self.stack[-1], set(), set(), False
         if attributes.strip() and tag not in ("html", "body"):
             for name, value in ATTRIBUTE.findall(attributes):
                 if name.lower() in ("class", "id", "role", "itemprop"):
                     for word in value.strip("\"'").split():
                         parts = [x.lower() for x in HINT.findall(word)]
-                        hints.update(takewhile(lambda x: x not in ABOUT_PAGE, parts))
+                        said = set(takewhile(lambda x: x not in ABOUT_PAGE, parts))
+                        hints |= said
+                        against |= {x for x in said if x in AGAINST or COMPOUND.fullmatch(x) or len(parts) == 1 and x in AGAINST_ALONE}
                 hidden |= name.lower() == "hidden" or name.lower() == "style" and "display:none" in value.replace(" ", "").lower()
-        against = {x for x in hints if x in AGAINST or x.startswith(AGAINST_STARTS)}
         article = tag in ("article", "main")
-        self.count += 1
-        own = ((self.count, against <= WIDE_HINTS),) if against or tag in WIDE else ()
+        hint = Hint(up.hint, against <= WIDE_HINTS) if against or tag in WIDE else up.hint
+        self.opened[tag] += 1
         self.stack.append(Element(
-            self.count, tag, up.inside or article or bool(hints & FOR) and not against, up.header or tag == "header" or bool(hints & HEAD and tag != "body"),
-            up.article or article, up.hidden or tag in FRAME - WIDE or hidden, up.hints + own,
+            up, tag, up.depth + 1, up.inside or article or bool(hints & FOR) and not against, up.header or tag == "header" or bool(hints & HEAD and tag != "body"),
+            up.article or article, up.hidden or tag in FRAME - WIDE or hidden, hint,
         ))
 
+    def pop(self) -> None:
+        self.opened[self.stack.pop().tag] -= 1
+
     def close(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
-                return
+        if self.opened[tag]:
+            while self.stack[-1].tag != tag:
+                self.pop()
+            self.pop()
 
 
 def ends(page: str, tag: str) -> dict[int, int]:
     """Place after the opening tag, and after its own end tag, of every element of the tag that has one."""
-    inner = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|title|textarea)\b[^>]*(?<!/)>.*?(?:</\1\b|\Z)|<(/?){re.escape(tag)}(?![\w-])(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*(?:>|\Z)", re.I | re.S)
+    inner = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|title|textarea)\b[^>]*(?<!/)>.*?(?:</\1\b|\Z)|<(/?){re.escape(tag)}(?![\w-])" + REST, re.I | re.S)
     found, opened = {}, []
     for m in inner.finditer(page):
         if m[2] is None:

@@ -19,12 +19,13 @@ from __future__ import annotations
 import math
 from collections import deque
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestone.llm.common import map_arrow, parts, pick, texts
-from lodestone.llm.html_blocks import HEADINGS, Block, blocks
+from lodestone.llm.html_blocks import HEADINGS, Block, Element, Hint, blocks
 
 #: The classifier's weights, in tenths of a unit of cost; positive for content.
 AGAINST, INSIDE, OUTSIDE, HEADER, INNER_HEADER, HEADING, LINKED, LENGTH, BIAS = -120, 60, -60, -120, -10, 10, -40, 8, -12
@@ -47,60 +48,105 @@ def content_cost(block: Block, has_main: bool) -> int:
     return round(score)
 
 
-def steps(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    """Distance in the tree between two places."""
-    same = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        same += 1
-    return len(a) + len(b) - 2 * same
+def steps(a: Element, b: Element, most: int) -> int:
+    """Distance in the tree between two places, or ``most`` if it is no less."""
+    n = 0
+    while a is not b and n < most:
+        if a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+        n += 1
+    return n
 
 
 def edges(found: list[Block]) -> list[tuple[int, int, int]]:
     """Neighbours in page order, and each block with the one before it under the same parent."""
     joined, last = {}, {}
     for i, block in enumerate(found):
-        for j in {i - 1, last.get(block.path[:-1], -1)} - {-1}:
-            joined[j, i] = SMOOTH >> min(8, max(0, steps(found[j].path, block.path) - 2))
-        last[block.path[:-1]] = i
+        for j in {i - 1, last.get(block.place.up, -1)} - {-1}:
+            joined[j, i] = SMOOTH >> max(0, steps(found[j].place, block.place, 2 + SMOOTH.bit_length()) - 2)
+        last[block.place.up] = i
     return [(j, i, w) for (j, i), w in joined.items() if w]
 
 
+def settled(excess: list[int], near: list[dict[int, int]]) -> list[bool | None]:
+    """Labels that no cut of least cost can better: a node's own cost outweighs all its edges, those of settled ones included.
+
+    ``excess`` takes up the edges to settled nodes, and ``near`` loses them.
+    """
+    label: list[bool | None] = [None] * len(excess)
+    room = [sum(edges.values()) for edges in near]
+    queue = deque(range(len(excess)))
+    while queue:
+        i = queue.popleft()
+        if label[i] is None and (excess[i] > room[i] or -excess[i] >= room[i]):
+            label[i] = excess[i] > room[i]
+            for j, w in near[i].items():
+                del near[j][i]
+                room[j] -= w
+                excess[j] += w if label[i] else -w
+                queue.append(j)
+            near[i] = {}
+    return label
+
+
 def minimum_cut(excess: list[int], joined: list[tuple[int, int, int]]) -> list[bool]:
-    """Which nodes stay with the source.
+    """Which nodes stay with the source; of several cuts of least cost, the one with the fewest.
 
-    ``excess`` is a node's capacity from the source less that to the sink; flow is sent along shortest
-    paths of the residual graph until none is left.
+    ``excess`` is a node's capacity from the source less that to the sink.  Nodes that outweigh their edges are
+    settled first; through the others, flow is sent in phases: each finds the distances to the sink in
+    the residual graph, and then sends all that goes along shortest paths.
     """
-    residual: list[dict[int, int]] = [{} for _ in excess]
+    excess, residual = excess[:], [{} for _ in excess]
     for i, j, w in joined:
         residual[i][j] = residual[i].get(j, 0) + w
         residual[j][i] = residual[j].get(i, 0) + w
-    excess = excess[:]
+    label = settled(excess, residual)
+    open_ = [i for i, x in enumerate(label) if x is None]
     while True:
-        came: dict[int, int] = {i: -1 for i, e in enumerate(excess) if e > 0}
-        queue, end = deque(came), -1
-        while queue and end < 0:
-            i = queue.popleft()
-            for j, w in residual[i].items():
-                if w and j not in came:
-                    came[j] = i
-                    if excess[j] < 0:
-                        end = j
-                        break
-                    queue.append(j)
-        if end < 0:
-            return [i in came for i in range(len(excess))]
-        path = [end]
-        while came[path[-1]] >= 0:
-            path.append(came[path[-1]])
-        flow = min(excess[path[-1]], -excess[end], *(residual[a][b] for b, a in zip(path, path[1:])))
-        for b, a in zip(path, path[1:]):
-            residual[a][b] -= flow
-            residual[b][a] += flow
-        excess[path[-1]] -= flow
-        excess[end] += flow
+        far = {i: 0 for i in open_ if excess[i] < 0}
+        queue = deque(far)
+        while queue:
+            j = queue.popleft()
+            for i in residual[j]:
+                if i not in far and residual[i][j]:
+                    far[i] = far[j] + 1
+                    queue.append(i)
+        sources = [i for i in open_ if excess[i] > 0 and i in far]
+        if not sources:
+            break
+        ahead, at = {i: list(residual[i]) for i in far}, dict.fromkeys(far, 0)
+        for source in sources:
+            path = [source]
+            while path and excess[source] > 0:
+                i = path[-1]
+                if excess[i] < 0:
+                    flow = min(excess[source], -excess[i], *(residual[a][b] for a, b in pairwise(path)))
+                    for a, b in pairwise(path):
+                        residual[a][b] -= flow
+                        residual[b][a] += flow
+                    excess[source] -= flow
+                    excess[i] += flow
+                    path = [source]
+                    continue
+                while at[i] < len(ahead[i]) and not (residual[i][j := ahead[i][at[i]]] and far.get(j) == far[i] - 1):
+                    at[i] += 1
+                if at[i] < len(ahead[i]):
+                    path.append(ahead[i][at[i]])
+                else:
+                    path.pop()
+                    if path:
+                        at[path[-1]] += 1
+    reached = {i for i in open_ if excess[i] > 0}
+    queue = deque(reached)
+    while queue:
+        i = queue.popleft()
+        for j, w in residual[i].items():
+            if w and j not in reached:
+                reached.add(j)
+                queue.append(j)
+    return [i in reached if x is None else x for i, x in enumerate(label)]
 
 
 def marked(found: list[Block]) -> bool:
@@ -108,6 +154,32 @@ def marked(found: list[Block]) -> bool:
     return any(b.inside and not b.against for b in found)
 
 
+def free_text(some: list[Block], has_main: bool) -> int:
+    """Characters, but those of links, of the blocks that are content with nothing to speak against them."""
+    return sum(len(b.text) - b.linked for b in some if not b.against and content_cost(b, has_main) > 0)
+
+
+class _Held:
+    """What an element that speaks against it holds: blocks of its own, elements like it inside, and sums over all of that."""
+
+    def __init__(self, hint: Hint) -> None:
+        self.hint, self.blocks, self.inner = hint, [], []
+        self.text, self.article, self.main = 0, False, False
+
+    def take(self, b: Block) -> None:
+        if not b.hidden:
+            self.blocks.append(b)
+            self.text += len(b.text) - b.linked
+            self.article |= b.article
+            self.main |= b.inside or b.tag == "h1"
+
+    def add(self, other: _Held) -> None:
+        self.inner.append(other)
+        self.text += other.text
+        self.article |= other.article
+        self.main |= other.main
+
+
 def lift(found: list[Block]) -> None:
     """Take hints off the elements that wrap the main text, the one with most text first.
 
@@ -115,27 +187,39 @@ def lift(found: list[Block]) -> None:
     main text, an h1 or more than half of the page's text; and it holds far more than what is content
     without it.
     """
-    while any(b.hints for b in found):
-        has_main = marked(found)
-        free = sum(len(b.text) - b.linked for b in found if not b.against and content_cost(b, has_main) > 0)
-        held: dict[tuple[int, bool], list[Block]] = {}
-        for b in found:
-            if not b.hidden and b.hints:
-                held.setdefault(b.hints[0], []).append(b)
-        own = {element: sum(len(b.text) - b.linked for b in some) for element, some in held.items()}
-        half = sum(len(b.text) - b.linked for b in found) / 2
-
-        def wraps(element: tuple[int, bool]) -> bool:
-            some, wide = held[element], element[1]
-            if not any(b.article or wide and (b.inside or b.tag == "h1") for b in some) and not (wide and own[element] > half):
+    held: dict[Hint, _Held] = {}
+    for b in found:
+        above, hint = [], b.hint
+        while hint is not None and hint not in held:
+            above.append(hint)
+            hint = hint.outer
+        held |= {h: _Held(h) for h in reversed(above)}
+        if b.hint is not None:
+            held[b.hint].take(b)
+    for h in reversed(held.values()):  # those inside come before those around them
+        if h.hint.outer is not None:
+            held[h.hint.outer].add(h)
+    roots = [h for h in held.values() if h.hint.outer is None]
+    half = sum(len(b.text) - b.linked for b in found) / 2
+    has_main = marked(found)
+    free = free_text(found, has_main)
+    while True:
+
+        def wraps(h: _Held) -> bool:
+            wide = h.hint.wide
+            if not h.article and not wide or not (h.article or h.main or h.text > half):
                 return False
-            return own[element] > free * (WRAPS if wide and not has_main else WRAPS_SURELY)
+            return h.text > free * (WRAPS if wide and not has_main else WRAPS_SURELY)
 
-        wrapper = max(filter(wraps, held), key=own.__getitem__, default=None)
+        wrapper = max(filter(wraps, roots), key=lambda h: h.text, default=None)
         if wrapper is None:
             return
-        for b in held[wrapper]:
-            b.hints = b.hints[1:]
+        wrapper.hint.lifted = True
+        at = roots.index(wrapper)
+        roots[at : at + 1] = wrapper.inner[::-1]
+        if wrapper.blocks:
+            before, has_main = has_main, has_main or marked(wrapper.blocks)
+            free = free_text(found, has_main) if has_main != before else free + free_text(wrapper.blocks, has_main)
 
 
 def main_text(page: str) -> str:

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import pytest
 
-from lodestone.llm.html_mincut import extract, main_text, minimum_cut
+from lodestone.llm.html_blocks import blocks
+from lodestone.llm.html_mincut import content_cost, edges, extract, lift, main_text, marked, minimum_cut
+from lodestone.llm.queries.op4 import op4_html_mincut
+
+SF = "/root/testdata/sf0.001"
 
 PARAGRAPHS = ["First paragraph of the story, with enough words to be one & no more.", "Second paragraph, which goes on for a while and then stops.", "Third one."]
 
@@ -110,3 +115,80 @@ def test_missing_end_tags(tag):
 def test_formulas_are_text():
     page = "<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='t'>\\x</annotation></math> holds.<p>It <math><mi>y</mi> ends.</article>"
     assert main_text(page) == "So x=2 holds.\nIt y ends."
+
+
+@pytest.mark.parametrize("name", ["commentary", "legal-analysis", "navigable-places", "promontory", "relatedness", "adsorption", "footnote-story"])
+def test_words_that_only_begin_like_a_hint(name):
+    assert main_text(body(NAV, f'<div class="{name}">', ARTICLE.replace("article>", "div>"), "</div>", FOOTER)) == WANT
+
+
+@pytest.mark.parametrize("name", ["commentlist", "comment-form", "adslot", "relatedPosts", "sidebarRight", "cookiebar", "newsletterSignup", "legal", "adsbygoogle"])
+def test_hints_written_together(name):
+    assert main_text(body(NAV, ARTICLE.replace("article>", "div>"), f'<div class="{name}"><p>Some words that are no part of the story at all</p></div>', FOOTER)) == WANT
+
+
+def test_a_stray_quote_in_a_tag():
+    assert main_text(body(NAV, ARTICLE.replace("<p>Third", '<p title="5" tall">Third'), FOOTER)) == WANT
+    assert main_text(body(NAV, ARTICLE.replace("<p>Third", "<p class=x don't>Third"), FOOTER)) == WANT
+    assert main_text(body(NAV, ARTICLE.replace("<p>Third", '<p title = "a > b" lang=en>Third'), FOOTER)) == WANT
+
+
+def plain_cut(excess, joined):
+    """The least set on the source's side, by one shortest path of the residual graph at a time."""
+    source, sink, room = len(excess), len(excess) + 1, {}
+    for i, j, w in joined:
+        room[i, j] = room.get((i, j), 0) + w
+        room[j, i] = room.get((j, i), 0) + w
+    for i, e in enumerate(excess):
+        room[source, i], room[i, sink], room[i, source], room[sink, i] = max(e, 0), max(-e, 0), 0, 0
+    out = {}
+    for a, b in room:
+        out.setdefault(a, []).append(b)
+    while True:
+        came, todo = {source: None}, [source]
+        for a in todo:
+            for b in out.get(a, []):
+                if b not in came and room[a, b]:
+                    came[b] = a
+                    todo.append(b)
+        if sink not in came:
+            return [i in came for i in range(len(excess))]
+        path = [sink]
+        while came[path[-1]] is not None:
+            path.append(came[path[-1]])
+        least = min(room[a, b] for b, a in itertools.pairwise(path))
+        for b, a in itertools.pairwise(path):
+            room[a, b] -= least
+            room[b, a] += least
+
+
+def test_flow_against_a_plain_one():
+    rng = random.Random(6)
+    for _ in range(300):
+        n, top = rng.randint(1, 40), rng.choice([2, 12, 60])
+        excess = [rng.randint(-top, top) for _ in range(n)]
+        joined = [(max(0, i - rng.randint(1, 5)), i, rng.choice([3, 6, 12, 24])) for i in range(1, n) for _ in range(2)]
+        assert minimum_cut(excess, joined) == plain_cut(excess, joined)
+
+
+def test_the_query_against_a_plain_cut(spark):
+    """The registered query over all pages, and the same blocks labelled by the plain flow."""
+    got = {r.page_id: (r.text, r.n_chars) for r in op4_html_mincut(spark, SF).collect()}
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    for page in pages:
+        found = blocks(page.html or "")
+        lift(found)
+        kept = plain_cut([content_cost(b, marked(found)) for b in found], edges(found))
+        text = "\n".join(b.text for b, k in zip(found, kept) if k)
+        assert got[page.page_id] == (text, len(text))
+    assert len(got) == len(pages) > 40
+
+
+@pytest.mark.parametrize("page", [
+    "<article>" + "<div>text of some words here <div class='ad'>x</div>" * 100_000, "<form>" * 3000 + "<article>" + "<p>text of some words here</p></x>" * 100_000,
+    "<div>" + "<p>Few words.</p>" * 100_000, "<div class='comment sidebar'>" * 20_000 + "<p>words</p>" * 1000 + "<article>" + "<p>text of some words here</p>" * 20_000,
+])
+def test_very_many_blocks(page):
+    began = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - began < 60
