@@ -6,7 +6,8 @@ diagonal p - t.  Votes are counted per document, template and diagonal; diagonal
 apart merge (a word left out or put in moves the rest to the next diagonal); a merged group is verified
 when it holds enough of the template's k-grams in a span not much longer than the template, or when
 neighbours in it, at most ``2 * drift`` apart and so in such a span, do: a notice that is repeated back
-to back merges into a long group, and counts as one place does.  As k-grams are compared word by word, a
+to back merges into a long group, and counts as one place does.  The words that tell a notice from others, as
+its version, must stand in it unbroken.  As k-grams are compared word by word, a
 diagonal that has all of a phrase's k-grams is a place of that phrase.
 
 Edge cases: a null or empty text has no words, no places, empty labels and score 0; texts shorter than
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lodestone.llm.common import pick
-from lodestone.llm.license_templates import Template
+from lodestone.llm.license_templates import Template, must_hold
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: runs of 0-9, a-z and all characters beyond ASCII.
@@ -44,8 +45,9 @@ def template_grams(df: DataFrame, templates: list[Template], k: int) -> DataFram
     rows = []
     for number, t in enumerate(templates):
         w = t.text.split()
-        rows += [(number, t.label, t.base, len(w), i, " ".join(w[i : i + k])) for i in range(len(w) - k + 1)]
-    schema = "template int, label string, base boolean, n_template long, at long, gram string"
+        must = must_hold(t, k)
+        rows += [(number, t.label, t.base, len(w), len(must), i, i in must, " ".join(w[i : i + k])) for i in range(len(w) - k + 1)]
+    schema = "template int, label string, base boolean, n_template long, n_must long, at long, must boolean, gram string"
     return df.sparkSession.createDataFrame(rows, schema).withColumn("hash", F.xxhash64("gram"))
 
 
@@ -65,23 +67,24 @@ def scan_licenses(
     )
     found = template_grams(docs, templates, k)
     hits = grams.alias("g").join(F.broadcast(found.alias("t")), (F.col("g.hash") == F.col("t.hash")) & (F.col("g.gram") == F.col("t.gram")), "left")
-    hits = hits.filter("template is not null or pos < 0").select("row", "doc_id", "n_words", "pos", "template", "label", "base", "n_template", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
-    key = ["row", "doc_id", "n_words", "template", "label", "base", "n_template"]
-    diagonals = hits.groupBy(*key, "diagonal").agg(F.collect_set("at").alias("at"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    hits = hits.filter("template is not null or pos < 0").select("row", "doc_id", "n_words", "pos", "template", "label", "base", "n_template", "n_must", "at", "must", (F.col("pos") - F.col("at")).alias("diagonal"))
+    key = ["row", "doc_id", "n_words", "template", "label", "base", "n_template", "n_must"]
+    diagonals = hits.groupBy(*key, "diagonal").agg(F.collect_set("at").alias("at"), F.collect_set(F.when(F.col("must"), F.col("at"))).alias("must"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     along = W.partitionBy("row", "template").orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > drift).cast("int"), F.lit(1))
     grouped = diagonals.withColumn("group", F.sum(F.when(F.col("base"), 1).otherwise(apart)).over(along.rowsBetween(W.unboundedPreceding, 0)))
     near = F.filter(F.collect_list(F.struct("group", "at")).over(along.rangeBetween(0, drift * 2)), lambda x: x["group"] == F.col("group"))
     grouped = grouped.withColumn("near", F.size(F.array_distinct(F.flatten(F.transform(near, lambda x: x["at"])))))
     spans = grouped.groupBy(*key, "group").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("votes"), F.max("near").alias("near"), (F.max("last") + k - F.min("first")).alias("n_span"), F.min("diagonal").alias("diagonal"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("votes"), F.max("near").alias("near"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("must")))).alias("must"), (F.max("last") + k - F.min("first")).alias("n_span"), F.min("diagonal").alias("diagonal"),
     )
     votes = F.when(F.col("n_span") <= F.col("n_template") + drift * 2, F.col("votes")).otherwise(F.col("near"))
     share = votes / (F.col("n_template") - k + 1)
     spans = spans.withColumn("share", F.coalesce(share, F.lit(0.0)))
     place = F.when(F.col("base") & (F.col("share") == 1), F.col("diagonal"))
     base = F.when(F.col("base") & (F.col("share") == 1), F.col("label"))
-    label = F.when(F.col("base"), base).otherwise(F.when(F.col("share") >= least, F.col("label")))
+    label = F.when(F.col("base"), base).otherwise(F.when((F.col("share") >= least) & (F.col("must") == F.col("n_must")), F.col("label")))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     return spans.groupBy("row", "doc_id", "n_words").agg(
         F.count(place).alias("n_base"), F.min(place).alias("first_word"), F.max(place).alias("last_word"),

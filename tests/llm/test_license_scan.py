@@ -8,7 +8,7 @@ import re
 import pytest
 
 from lodestone.llm.license_scan import scan_licenses
-from lodestone.llm.license_templates import BASE, NOTICES
+from lodestone.llm.license_templates import BASE, NOTICES, must_hold
 
 
 def words(text):
@@ -57,3 +57,30 @@ def test_notices_back_to_back(spark):
     out = {r.doc_id: (r.labels, r.score) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), NOTICES).collect()}
     assert out.pop(9002) == ("", 0) and out.pop(9003)[1] == pytest.approx(5 / 7)
     assert len(out) == 7 and set(out.values()) == {("all-rights-reserved", 1.0)}
+
+
+def brute_notices(text, k=3, drift=3, least=0.8):
+    """Labels by trying every stretch of the text that is at most 2 * drift words longer than the notice."""
+    w, labels = words(text), set()
+    for t in NOTICES:
+        p = t.text.split()
+        place = {tuple(p[i : i + k]): i for i in range(len(p) - k + 1)}
+        assert len(place) == len(p) - k + 1
+        hits = [(i, place[g]) for i in range(len(w) - k + 1) if (g := tuple(w[i : i + k])) in place]
+        must = set(must_hold(t, k))
+        for first, _ in hits:
+            if must <= {at for _, at in hits} and len({at for i, at in hits if first <= i and i + k <= first + len(p) + 2 * drift}) >= least * len(place):
+                labels.add(t.label)
+    return ",".join(sorted(labels))
+
+
+def test_notices_against_a_plain_scan(spark):
+    """Every notice whole, with a word put in, with a word left out, and half of it, among other words."""
+    rows = []
+    for t in NOTICES:
+        p = t.text.split()
+        for made in (p, [*p[:2], "lucky", *p[2:]], p[:1] + p[2:], p[: len(p) // 2], [*p[:5], *"these words stand in between and part it for good".split(), *p[5:]]):
+            rows.append((len(rows), "Some words before it. " + " ".join(made).capitalize() + " and after"))
+    out = {r.doc_id: r.labels for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), NOTICES).collect()}
+    assert {i: out[i] for i, _ in rows} == {i: brute_notices(t) for i, t in rows}
+    assert all(t.label in out[5 * i].split(",") for i, t in enumerate(NOTICES))
