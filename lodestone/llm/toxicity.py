@@ -3,17 +3,18 @@
 Features are the words of a text and the beginnings of those words, so that inflected forms share
 weight; each counts once a text.  Only features that speak for toxicity are kept, so that a text
 without any is judged by the thresholds alone.  One weight vector serves all thresholds: the log odds of a severity
-above j are ``w . x - theta_j``.  The output is the expected severity, the likeliest grade and whether
-a severity above 0 is likely enough to reject the text.
+above j are ``w . x - theta_j``.  The output is the expected severity, whether a severity above 0 is likely
+enough to reject the text, and the grade: 0 if it isn't, else the likeliest one above 0.
 
-The model is fitted on a bounded sample of labelled rows (``sample``, the first by a hash of the id);
+The model is fitted on a bounded sample of labelled documents (``sample``, the first by a hash of the id, a
+row for each);
 candidate features are counted over that sample in Spark and the ``features`` that tell the classes
 apart best are kept.  Labels say toxic or not.  Grades above 1 split the toxic rows of the sample evenly
 by how much of the text is made of telling words, so that severity stands for density of abuse.
 
 Edge cases: null or empty texts have no features and get the intercepts' severity; texts of any length
 are read whole; labels with a null id or value are left out, repeated ones count as toxic if any is;
-with no label of either class the model has no weights and calls nothing toxic; repeated rows are
+of documents that share a labelled id the least text is fitted on; with no label of either class the model has no weights and calls nothing toxic; repeated rows are
 scored each; empty tables give empty results; all columns of the input are carried along, and output
 columns take the place of input columns of their names.
 """
@@ -74,9 +75,10 @@ class Model:
         return [1 / (1 + math.exp(min(700.0, t - x))) for t in self.thresholds]
 
     def judge(self, x: float) -> tuple[float, int, bool]:
-        above = [1.0, *self.probabilities(x), 0.0]
-        grade = max(range(len(above) - 1), key=lambda j: above[j] - above[j + 1])
-        return sum(above[1:]), grade, above[1] > TOXIC
+        above = [*self.probabilities(x), 0.0]
+        toxic = above[0] > TOXIC
+        grade = 1 + max(range(len(above) - 1), key=lambda j: above[j] - above[j + 1]) if toxic else 0
+        return sum(above), grade, toxic
 
 
 class Scores(dict):
@@ -100,10 +102,11 @@ class Scores(dict):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """text and toxic of at most ``sample`` labelled documents; the ids are so few that they are broadcast."""
+    """text and toxic of at most ``sample`` labelled documents, one row an id; the ids are so few that they are broadcast."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.filter("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    rows = docs.filter("text is not null").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
 def telling_features(sample: DataFrame, features: int, least: int) -> list[tuple[str, float]]:
