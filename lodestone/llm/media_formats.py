@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import ahocorasick
@@ -66,7 +67,7 @@ def jpeg(data: bytes, at: int) -> int:
             here += 1
             continue
         n = struct.unpack_from(">H", data, here + 2)[0]
-        if n < 2 or kind < 0xC0:
+        if n < 2 or kind < 0xC0 or kind == 0xD8:
             return 0
         here += 2 + n
         if kind == 0xDA:  # entropy-coded data, up to the next marker that isn't a restart
@@ -111,17 +112,55 @@ def webp(data: bytes, at: int) -> int:
     return 8 + struct.unpack_from("<I", data, at + 4)[0] if found and found.keys() & {b"VP8 ", b"VP8L", b"VP8X"} else 0
 
 
+def _ogg_page(data: bytes, at: int) -> tuple[int, int, int]:
+    """Flags, serial number and end of the page at ``at``; an end of 0 if there is no whole page."""
+    if data[at : at + 4] != b"OggS" or at + 27 > len(data) or data[at + 4]:
+        return 0, 0, 0
+    table = data[at + 27 : at + 27 + data[at + 26]]
+    end = at + 27 + len(table) + sum(table)
+    return data[at + 5], struct.unpack_from("<I", data, at + 14)[0], end if len(table) == data[at + 26] and end <= len(data) else 0
+
+
+@lru_cache(maxsize=1)
+def ogg_media(data: bytes) -> dict[int, int]:
+    """Place and length of every Ogg medium, in one pass.
+
+    A medium begins with the first pages of all its streams, goes on without gaps, and ends with the last
+    page of the last stream that is open.
+    """
+    found: dict[int, int] = {}
+    begun, open_, heads = -1, set(), False
+    here = data.find(b"OggS")
+    while here >= 0:
+        flags, serial, end = _ogg_page(data, here)
+        first = bool(end and flags & 2)
+        if first and not (begun >= 0 and heads):
+            begun, open_, heads = here, set(), True
+        elif not end or serial not in open_ and not first:
+            begun = -1
+        if end and begun >= 0:
+            heads = first
+            open_.add(serial)
+            if flags & 4:
+                open_.discard(serial)
+            if not open_:
+                found[begun], begun = end - begun, -1
+        after = end or here + 4
+        here = data.find(b"OggS", after)
+        if here != after:
+            begun = -1
+    return found
+
+
 def ogg(data: bytes, at: int) -> int:
-    here = at
-    while data[here : here + 4] == b"OggS" and here + 27 <= len(data) and data[here + 4] == 0:
-        table = data[here + 27 : here + 27 + data[here + 26]]
-        end = here + 27 + len(table) + sum(table)
-        if len(table) < data[here + 26] or end > len(data):
-            return 0
-        if data[here + 5] & 4:
-            return end - at
-        here = end
-    return 0
+    return ogg_media(data).get(at, 0)
+
+
+@lru_cache(maxsize=1)
+def pdf_marks(data: bytes) -> tuple[list[int], list[int], list[int], list[re.Match]]:
+    """Places of headers, of startxref and of end marks, and the end marks that say where their table lies."""
+    places = (lambda mark: [m.start() for m in re.finditer(mark, data)])
+    return places(rb"%PDF-"), places(rb"startxref"), places(rb"%%EOF"), list(PDF_END.finditer(data))
 
 
 def pdf(data: bytes, at: int) -> int:
@@ -130,15 +169,17 @@ def pdf(data: bytes, at: int) -> int:
     A header before any end mark is that of a PDF stored inside: then the end is the first mark whose
     cross-reference table lies where it says, counted from here, or a later one before a further header.
     """
-    start, stop = data.find(b"startxref", at), data.find(b"%PDF-", at + 5)
+    headers, starts, marks, tables = pdf_marks(data)
+    after = lambda places, x: places[i] if (i := bisect_left(places, x)) < len(places) else -1
+    start, stop = after(starts, at), after(headers, at + 5)
     if 0 <= stop < start:
-        own = (m.end() for m in PDF_END.finditer(data, start) if PDF_TABLE.match(data, at + int(m[1])) and at + int(m[1]) < m.start())
+        own = (m.end() for m in tables[bisect_left(tables, start, key=re.Match.start) :] if PDF_TABLE.match(data, at + int(m[1])) and at + int(m[1]) < m.start())
         if end := next(own, 0):
-            start, stop = end - 5, data.find(b"%PDF-", end)
+            start, stop = end - 5, after(headers, end)
     if start < 0:
         return 0
-    end = data.rfind(b"%%EOF", start, stop if stop >= 0 else len(data))
-    end = end if end >= 0 else data.find(b"%%EOF", start)
+    last = bisect_right(marks, stop - 5 if stop >= 0 else len(data)) - 1
+    end = marks[last] if last >= 0 and marks[last] >= start else after(marks, start)
     return end + 5 - at if end >= 0 else 0
 
 

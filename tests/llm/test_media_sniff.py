@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import struct
+import time
 import wave
 import zipfile
 import zlib
@@ -24,7 +25,7 @@ PNG = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0,
 GIF = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + b"\0" * 6 + b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02\x44\x01\x00\x3b"
 JPEG = b"\xff\xd8\xff\xe0" + struct.pack(">H", 4) + b"ab\xff\xda" + struct.pack(">H", 3) + b"x" + b"\x01\xff\x00\x02\xff\xd9"
 BMP = b"BM" + struct.pack("<IIII", 58, 0, 54, 40) + b"\0" * 40
-OGG = b"OggS\0\x04" + b"\0" * 20 + b"\x01\x03abc"
+OGG = b"OggS\0\x06" + b"\0" * 20 + b"\x01\x03abc"
 PDF = b"%PDF-1.4\nstartxref\n0\n%%EOF"
 WEBP = b"RIFF" + struct.pack("<I", 16) + b"WEBPVP8 " + struct.pack("<I", 4) + b"abcd"
 
@@ -102,3 +103,42 @@ def test_archives_in_an_archive():
     outer = out.getvalue()
     zips = [(at, n) for kind, at, n in media(b"padding" + outer + b"tail") if kind == "application/zip"]
     assert zips == [(7, len(outer)), (7 + outer.index(inner), len(inner)), (7 + outer.rindex(inner), len(inner))]
+
+
+def page(flags, serial=0, body=b"abc"):
+    return b"OggS\0" + bytes([flags]) + b"\0" * 8 + struct.pack("<I", serial) + b"\0" * 8 + bytes([1, len(body)]) + body
+
+
+def oggs(data):
+    return [(at, n) for kind, at, n in media(data) if kind == "audio/ogg"]
+
+
+def test_an_ogg_stream_is_one_medium():
+    stream = page(2) + page(0) * 5 + page(4)
+    both = page(2, 1) + page(2, 2) + page(0, 1) + page(4, 2) + page(0, 1) + page(4, 1)
+    assert oggs(b"padding" + stream + b"tail") == [(7, len(stream))]
+    assert oggs(stream + both + stream) == [(0, len(stream)), (len(stream), len(both)), (len(stream + both), len(stream))]
+    assert oggs(page(2) + page(0) + stream) == [(len(page(2) + page(0)), len(stream))]
+    assert not oggs(stream[len(page(2)) :]) and not oggs(both[: -len(page(4))]) and not oggs(page(2) + b"gap" + page(4)) and not oggs(page(2) + page(4, 9))
+
+
+@pytest.mark.parametrize("data", [
+    page(2) + page(0) * 100_000 + page(4), page(2) * 100_000, (page(2) + page(4)) * 50_000, b"%PDF-1.4 " * 100_000, document(saved=2) * 20_000, b"PK\x03\x04" * 100_000, b"\xff\xd8\xff\xe0\0\4ab" * 100_000,
+    document() + b"%PDF-1.4 " * 100_000,
+])
+def test_long_content_in_one_pass(data):
+    began = time.perf_counter()
+    media(data)
+    assert time.perf_counter() - began < 20
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "id long, content binary, declared string, media string, `a.b` int")
+    out = sniff(none, key="id", content="content", declared="declared")
+    assert out.count() == 0 and carve(out, content="media").count() == 0
+
+
+def test_very_long_content(spark):
+    content = bytearray(b"x" * 3_000_000 + PNG + b"y" * 3_000_000 + GIF)
+    rows = sniff(spark.createDataFrame([(1, content, None)] * 2, "id long, content binary, declared string"), key="id", content="content", declared="declared").collect()
+    assert all([(x["type"], x["offset"]) for x in r.embedded] == [("image/png", 3_000_000), ("image/gif", 6_000_000 + len(PNG))] for r in rows) and len(rows) == 2
