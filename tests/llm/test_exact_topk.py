@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 
-from lodestone.llm.exact_topk import search
+from lodestone.llm.exact_topk import CELL_SEGMENTS, SEGMENTS, Cells, block_topk, search, statistics
 
 
 def brute(rows, k, every):
@@ -47,3 +48,32 @@ def test_components_near_the_limit(spark, mark):
     for q in {q for q, *_ in held}:
         want += [(q, r, i, s) for r, (_, i, s) in enumerate(sorted((-s, i, s) for a, _, i, s in held if a == q)[:7], 1)]
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in out) == sorted(want)
+
+
+def test_bounds_leave_pairs_out(spark):
+    """Of clustered vectors most cells are never wanted, and of vectors without structure the finest level leaves pairs out."""
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(40, 64)) * 3
+    x = centers[np.repeat(np.arange(40), 150)] + rng.normal(size=(6000, 64)) * 0.2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    out = search(df, lambda v: v % 20 == 0, k=7, query_block=64, candidate_block=500, sample=2000).collect()
+    f = np.floor(64 * x.astype(np.float32).astype(float))
+    for q in range(0, 6000, 20):
+        scores = f @ f[q]
+        scores[q] = -np.inf
+        want = np.lexsort((np.arange(6000), -scores))[:7]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in out if r.query_id == q), key=lambda r: r.rank)] == [(int(i), int(scores[i])) for i in want]
+    held = Cells(np.arange(0, 6000, 3), f[::3], f[::150])
+    cell = held.nearest(f)
+    mean, deviation = np.split(statistics(f, CELL_SEGMENTS), 2, axis=1)
+    held.low, held.high, held.deviation = (np.array([op(v[cell == c], axis=0) for c in range(40)]) for op, v in ((np.min, mean), (np.max, mean), (np.max, deviation)))
+    queries = np.arange(0, 6000, 20)
+    floors = held.thresholds(f[queries], queries, 7)
+    assert held.wanted(f[queries], floors).mean() < 0.1
+    told: dict[int, int] = {}
+    block_topk(f[queries], queries, floors, f, np.arange(6000), np.arange(6000), 7, told)
+    assert told[0] == 300 * 6000 and told[SEGMENTS[0]] >= told[SEGMENTS[1]] >= told[SEGMENTS[-1]] and told[SEGMENTS[-1]] < 0.05 * told[0]
+    g = np.floor(64 * rng.normal(size=(4000, 64)) / 8)
+    told = {}
+    block_topk(g[:200], np.arange(200), np.full(200, -np.inf), g, np.arange(4000), np.arange(4000), 20, told)
+    assert told[SEGMENTS[-1]] < 0.8 * told[0]
