@@ -1,11 +1,15 @@
 """Tables that are kept: upsert by key, delete, collections, histories, images and cascades.
 
-Stores are folders of Parquet.  A write goes to a new version's folder and then the small pointer file
-is replaced, so that readers see one version or the other, and no plan reads what it overwrites.
+A store is a folder of Parquet files, dealt into buckets by a hash of the key.  A write puts the buckets that
+it changes into a new version's folder, and then commits a manifest, which names every bucket's folder.
+Manifests are numbered, and a new one gets its name by a rename that fails if the name is taken: readers
+see one state or the other, a write that dies before its rename changes nothing, and of two writes at
+once the later one fails.  Folders that neither the last manifest nor the one before it names are removed.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from functools import reduce
 
@@ -15,41 +19,105 @@ from pyspark.sql import types as T
 
 from lodestone.schema import struct
 
+BUCKET = "__bucket"
 
-class Table:
-    """A keyed table under a folder, partitioned by ``partition`` if given."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str | T.StructType, key: tuple[str, ...], partition: str | None = None) -> None:
-        self.spark, self.path, self.schema, self.key, self.partition = spark, path.rstrip("/"), struct(schema), key, partition
 
-    def _pointer(self) -> str | None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
-        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            return None
-        return self.spark.read.text(f"{self.path}/_current").first().value
+class Table:
+    """A keyed table under a folder; files are sorted by ``partition`` if given, so that a filter on it skips row groups."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str | T.StructType, key: tuple[str, ...], partition: str | None = None, buckets: int = 16) -> None:
+        self.spark, self.path, self.schema, self.key, self.partition, self.buckets = spark, path.rstrip("/"), struct(schema), key, partition, buckets
+
+    def _at(self, name: str = ""):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _numbers(self) -> list[int]:
+        """Of the manifests, oldest first."""
+        files, folder = self._at("_manifests")
+        return sorted(int(f.getPath().getName()) for f in files.listStatus(folder) if f.getPath().getName().isdigit()) if files.exists(folder) else []
+
+    def _manifest(self, number: int) -> dict[str, str]:
+        return json.loads(self.spark.sparkContext.wholeTextFiles(f"{self.path}/_manifests/{number:020d}", 1).first()[1])["folders"]
+
+    def _current(self) -> tuple[int, dict[str, str]]:
+        numbers = self._numbers()
+        return (numbers[-1], self._manifest(numbers[-1])) if numbers else (0, {})
+
+    def _commit(self, number: int, folders: dict[str, str]) -> None:
+        files, target = self._at(f"_manifests/{number:020d}")
+        _, made = self._at(f"_manifests/tmp-{uuid.uuid4().hex}")
+        out = files.create(made)
+        out.write(bytearray(json.dumps({"buckets": self.buckets, "folders": folders}).encode()))
+        out.close()
+        if files.exists(target) or not files.rename(made, target):
+            files.delete(made, False)
+            raise RuntimeError(f"another write to {self.path} was committed first")
+
+    def _tidy(self) -> None:
+        """Remove what the last two manifests don't name."""
+        numbers = self._numbers()
+        named = {folder.split("/")[0] for n in numbers[-2:] for folder in self._manifest(n).values()}
+        files, top = self._at()
+        for status in files.listStatus(top):
+            name = status.getPath().getName()
+            if name.startswith("v-") and name not in named:
+                files.delete(status.getPath(), True)
+        for number in numbers[:-2]:
+            files.delete(self._at(f"_manifests/{number:020d}")[1], False)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+
+    def _of(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in folders])
 
     def read(self) -> DataFrame:
-        version = self._pointer()
-        if version is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}")
+        return self._of(sorted(self._current()[1].values()))
 
-    def write(self, df: DataFrame) -> None:
+    def _put(self, df: DataFrame, number: int, kept: dict[str, str]) -> None:
+        """``df`` as a new version's buckets, beside those that are ``kept``."""
         version = f"v-{uuid.uuid4().hex}"
-        writer = df.select(*self.schema.fieldNames()).write
-        (writer.partitionBy(self.partition) if self.partition else writer).parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/_current")
+        rows = df.select(*self.schema.fieldNames()).withColumn(BUCKET, self._bucket())
+        rows = rows.repartition(BUCKET).sortWithinPartitions(BUCKET, *([self.partition] if self.partition else []))
+        rows.write.partitionBy(BUCKET).parquet(f"{self.path}/{version}")
+        files, folder = self._at(version)
+        names = [f.getPath().getName() for f in files.listStatus(folder)]
+        self._commit(number + 1, kept | {n.split("=")[1]: f"{version}/{n}" for n in names if n.startswith(f"{BUCKET}=")})
+        self._tidy()
+
+    def write(self, df: DataFrame) -> None:
+        """All rows; what was there goes."""
+        self._put(df, self._current()[0], {})
+
+    def replace(self, gone: Column | DataFrame, new: DataFrame | None = None) -> None:
+        """Rows that ``gone`` names leave, and ``new`` comes; only the buckets of either are written.
+
+        ``gone`` is a predicate, or a table of keys.
+        """
+        number, folders = self._current()
+        held = self._of(sorted(folders.values()))
+        leave = held.filter(gone) if isinstance(gone, Column) else gone
+        touched = leave.select(self._bucket().alias("b"))
+        touched = touched if new is None else touched.union(new.select(self._bucket().alias("b")))
+        numbers = {str(r.b) for r in touched.distinct().collect()}
+        if not numbers:
+            return
+        old = self._of(sorted(f for b, f in folders.items() if b in numbers))
+        left = old.filter(~F.coalesce(gone, F.lit(False))) if isinstance(gone, Column) else old.join(gone.select(*self.key).distinct(), list(self.key), "left_anti")
+        rows = left if new is None else left.unionByName(new, allowMissingColumns=True)
+        self._put(rows, number, {b: f for b, f in folders.items() if b not in numbers})
 
     def upsert(self, new: DataFrame) -> None:
-        self.write(upserted(self.read(), new, self.key))
+        self.replace(new.select(*self.key), new)
 
     def delete(self, where: Column) -> int:
         """Rows for which ``where`` holds leave; how many there were."""
-        held = self.read()
-        n = held.filter(where).count()
+        n = self.read().filter(where).count()
         if n:
-            self.write(held.filter(~F.coalesce(where, F.lit(False))))
+            self.replace(where)
         return n
 
 
@@ -77,7 +145,8 @@ def records(chunks: DataFrame, vectors: DataFrame, dim: int | None = None) -> Da
 def get_by_ids(chunks: DataFrame, ids: list[str]) -> DataFrame:
     """One row for each asked id, in order; the other columns are null for one that is missing."""
     asked = chunks.sparkSession.createDataFrame(list(enumerate(ids)), "pos int, chunk_id string")
-    return F.broadcast(asked).join(chunks, "chunk_id", "left").orderBy("pos")
+    found = chunks.join(F.broadcast(asked.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    return asked.join(found, "chunk_id", "left").orderBy("pos")
 
 
 def collections(chunks: DataFrame) -> DataFrame:
@@ -91,17 +160,21 @@ def to_ingest(files: DataFrame, history: DataFrame) -> DataFrame:
     return files.join(history.filter("status = 'success'").select("file_hash"), "file_hash", "left_anti")
 
 
-def marked(history: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """History after outcomes (file_hash, file_path, status, collection, error_msg, at).
+def marks(history: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Rows of history for outcomes (file_hash, file_path, status, collection, error_msg, at).
 
     The first time of processing stays; success clears the error.
     """
     old = history.select("file_hash", F.col("processed_at").alias("__first"))
-    new = outcomes.join(old, "file_hash", "left").select(
+    return outcomes.join(old, "file_hash", "left").select(
         "file_hash", "file_path", "status", "collection", F.when(F.col("status") != "success", F.col("error_msg")).alias("error_msg"),
         F.coalesce("__first", "at").alias("processed_at"), F.col("at").alias("updated_at"),
     )
-    return upserted(history, new, ("file_hash",))
+
+
+def marked(history: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """History after outcomes."""
+    return upserted(history, marks(history, outcomes), ("file_hash",))
 
 
 def registered(images: DataFrame, new: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lodestone import schema
 from lodestone.functions import numeric, text
 from lodestone.operators import chunking, index
-from lodestone.operators.store import Table, marked, to_ingest
+from lodestone.operators.store import Table, marks, to_ingest
 from lodestone.sources import files as sources
 from lodestone.sources.embeddings import Embed, embed
 
@@ -55,7 +55,7 @@ class Stores:
         return {"chunks": self.chunks, "postings": self.postings, "lengths": self.lengths, "history": self.history, "images": self.images}
 
     def index_of(self, collection: str) -> index.Index:
-        """The collection is a partition of the tables, so others aren't read."""
+        """Files are sorted by collection, so that row groups of others aren't read."""
         of = lambda table: table.read().filter(F.col("collection") == collection).drop("collection")
         return index.Index(of(self.postings), of(self.lengths))
 
@@ -84,8 +84,8 @@ def ingest(spark: SparkSession, stores: Stores, folder: str, encode: Embed, *, c
     made = index.build(rows.select("chunk_id", "text"))
     prefixes = good.select(numeric.hash8(F.col("source_path")).alias("__prefix")).distinct()
     for table, new in ((stores.chunks, rows), (stores.postings, made.postings.withColumn("collection", F.lit(collection))), (stores.lengths, made.lengths.withColumn("collection", F.lit(collection)))):
-        held = table.read().join(prefixes, (F.substring_index("chunk_id", "_", 1) == F.col("__prefix")) & (F.col("collection") == collection), "left_anti")
-        table.write(held.unionByName(new.select(*table.schema.fieldNames())))
+        gone = table.read().join(prefixes, (F.substring_index("chunk_id", "_", 1) == F.col("__prefix")) & (F.col("collection") == collection), "left_semi")
+        table.replace(gone.select(*table.key), new.select(*table.schema.fieldNames()))
     counts = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"))
     error = F.when(F.col("error").isNotNull(), F.col("error")).when(F.coalesce(F.trim("text"), F.lit("")) == "", F.lit("no text"))
     results = parsed.join(counts, "doc_id", "left").select(
@@ -93,5 +93,5 @@ def ingest(spark: SparkSession, stores: Stores, folder: str, encode: Embed, *, c
     outcomes = results.select(
         "file_hash", F.col("path").alias("file_path"), F.when(F.col("success"), "success").otherwise("failed").alias("status"), F.lit(collection).alias("collection"),
         F.col("error").alias("error_msg"), F.current_timestamp().alias("at"))
-    stores.history.write(marked(stores.history.read(), outcomes))
+    stores.history.upsert(marks(stores.history.read(), outcomes))
     return results

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestone.operators.store import Table, marked, to_ingest
+from lodestone.operators.store import Table, marks, to_ingest
 from lodestone.sources.files import hashed
 
 
@@ -32,7 +32,7 @@ def ingest(files: DataFrame, history: Table, work: Callable[[DataFrame], DataFra
             "file_hash", F.col("path").alias("file_path"), F.when(F.col("error_msg").isNull(), "success").otherwise("failed").alias("status"),
             F.lit(collection).alias("collection"), "error_msg", F.current_timestamp().alias("at"),
         )
-        history.write(marked(history.read(), outcomes))
+        history.upsert(marks(history.read(), outcomes))
 
     return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
