@@ -1,16 +1,4 @@
-"""Sides of joins that every task holds: their size is checked before they are sent."""
+"""Sizes up to which one side of an operation is held by every task; beyond them it is dealt into blocks."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-#: Rows of a batch that a caller may ask at once; a larger one must be cut up.
+#: Query vectors of a batch that goes to every task as a matrix.
 MOST_ROWS = 10_000
-
-
-def small(df: DataFrame, what: str, most: int = MOST_ROWS) -> DataFrame:
-    """``df`` to be broadcast, after a count that stops at one row too many."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} {what} in a batch")
-    return F.broadcast(df)

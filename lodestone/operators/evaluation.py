@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Callable
 
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lodestone.functions.text import ascii_tokens, basename, normalise
-from lodestone.operators.bounds import small
+
+LOG = logging.getLogger(__name__)
+#: Characters of the pieces by which a needle of one or two words is found.
+GRAM = 3
 
 
 def id_metrics(results: DataFrame, truth: DataFrame, queries: DataFrame) -> DataFrame:
@@ -59,31 +63,56 @@ def report(values: DataFrame) -> DataFrame:
 def judged(cases: DataFrame, judges: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """query_id, metric and value of external judges, each a function of cases to (query_id, value).
 
-    A judge that gives no value for a query, or fails, leaves the value out; it is never 0.
+    A judge that gives no value for a query, or fails before it returns, leaves the value out; it is never 0.
     """
     out = cases.sparkSession.createDataFrame([], "query_id string, metric string, value double")
     for metric, judge in judges.items():
-        given = judge(cases).select(F.col("query_id").cast("string"), F.lit(metric).alias("metric"), F.col("value").cast("double"))
+        try:
+            given = judge(cases).select(F.col("query_id").cast("string"), F.lit(metric).alias("metric"), F.col("value").cast("double"))
+        except Exception:  # one judge's failure must not keep the others' values
+            LOG.exception("the judge of %s failed; its values are left out", metric)
+            continue
         out = out.unionByName(given.filter("value is not null"))
     return out
 
 
+def holding(needles: DataFrame, hays: DataFrame) -> DataFrame:
+    """Rows of ``hays`` (with hay) and ``needles`` (with needle) where the one's normalised text holds the other's.
+
+    A needle's first and last word may be parts of the hay's words, but those between are words of it: the
+    longest of them is the anchor by which both sides join.  A needle without such a word is anchored by
+    its first ``GRAM`` characters, or as many as it has.  Empty and null needles are held by nothing.
+    """
+    asked = needles.filter("needle <> ''").withColumn("__words", F.split("needle", " "))
+    inner = F.slice("__words", 2, F.greatest(F.size("__words") - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = asked.withColumn("__anchor", longest).drop("__words")
+    words = hays.withColumn("__anchor", F.explode(F.array_distinct(F.split("hay", " "))))
+    found = words.join(asked.filter("__anchor is not null"), "__anchor").filter(F.contains("hay", "needle"))
+    short = asked.filter("__anchor is null").withColumn("__anchor", F.substring("needle", 1, GRAM))
+    if not short.isEmpty():
+        places = F.sequence(F.lit(1), F.greatest(F.length("hay"), F.lit(1)))
+        grams = [F.transform(places, lambda i, n=n: F.substring(F.col("hay"), i, F.lit(n))) for n in range(1, GRAM + 1)]
+        pieces = hays.withColumn("__anchor", F.explode(F.array_distinct(F.concat(*grams))))
+        found = found.unionByName(pieces.join(short, "__anchor").filter(F.contains("hay", "needle")))
+    return found.drop("__anchor")
+
+
 def match_contexts(contexts: DataFrame, chunks: DataFrame, *, least: float = 0.5) -> DataFrame:
     """context_id and chunk_id: the tightest chunk that holds the context, else the chunk that covers most of its tokens.
 
-    contexts has context_id and text, chunks chunk_id and text.  Containment is a join with a bounded
-    side: reference contexts are a test set's.  The fallback joins tokens, not pairs; ties go to the
-    smaller id.
+    contexts has context_id and text, chunks chunk_id and text.  Both steps join tokens, not pairs, at any
+    number of contexts; ties go to the smaller id.
     """
-    c = small(contexts.select("context_id", normalise(F.col("text")).alias("needle")), "contexts")
+    c = contexts.select("context_id", normalise(F.col("text")).alias("needle"))
     h = chunks.select("chunk_id", normalise(F.col("text")).alias("hay"))
-    inside = h.join(c, F.contains(F.col("hay"), F.col("needle"))).groupBy("context_id").agg(F.min(F.struct(F.length("hay").alias("n"), "chunk_id")).alias("best"))
+    inside = holding(c, h).groupBy("context_id").agg(F.min(F.struct(F.length("hay").alias("n"), "chunk_id")).alias("best"))
     inside = inside.select("context_id", F.col("best.chunk_id").alias("chunk_id"))
     words = lambda df, key, text: df.select(key, F.explode(F.array_distinct(ascii_tokens(F.col(text)))).alias("token"))
     left = c.join(inside, "context_id", "left_anti")
     sizes = left.select("context_id", F.size(F.array_distinct(ascii_tokens(F.col("needle")))).alias("n")).filter("n > 0")
-    shared = words(h, "chunk_id", "hay").join(F.broadcast(words(left, "context_id", "needle")), "token").groupBy("context_id", "chunk_id").agg(F.count(F.lit(1)).alias("both"))
-    ratio = shared.join(F.broadcast(sizes), "context_id").withColumn("ratio", F.col("both") / F.col("n")).filter(F.col("ratio") >= least)
+    shared = words(h, "chunk_id", "hay").join(words(left, "context_id", "needle"), "token").groupBy("context_id", "chunk_id").agg(F.count(F.lit(1)).alias("both"))
+    ratio = shared.join(sizes, "context_id").withColumn("ratio", F.col("both") / F.col("n")).filter(F.col("ratio") >= least)
     best = W.partitionBy("context_id").orderBy(F.desc("ratio"), "chunk_id")
     fallback = ratio.withColumn("__n", F.row_number().over(best)).filter("__n = 1").select("context_id", "chunk_id")
     return contexts.select("context_id").join(inside.unionByName(fallback), "context_id", "left")

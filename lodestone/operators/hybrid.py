@@ -52,25 +52,27 @@ Scorer = Callable[[DataFrame], DataFrame]
 def rerank(results: DataFrame, scorer: Scorer | None, *, top_k: int) -> DataFrame:
     """Results ordered by the scorer's rerank_score; its column is null where it gave none.
 
-    ``scorer`` takes results and returns query_id, chunk_id, rerank_score (a pandas UDF or a join with
-    scores).  Without one the order stays.  Queries with one result stay as they are; a scorer that
+    ``scorer`` takes results and returns them with rerank_score, which needs no join, or else query_id, chunk_id
+    and rerank_score alone.  Without one the order stays.  Queries with one result stay as they are; a scorer that
     fails on planning leaves the order and marks the rows.
     """
     plain = results.withColumns({"rerank_score": F.lit(None).cast("double"), "rerank_fallback": F.lit(False)})
     if scorer is None:
         return plain.filter(F.col("rank") <= top_k)
     try:
-        scores = scorer(results).select("query_id", "chunk_id", "rerank_score")
+        scores = scorer(results)
     except Exception:
         LOG.exception("the scorer failed; the order stays")
         return plain.withColumn("rerank_fallback", F.lit(True)).filter(F.col("rank") <= top_k)
-    joined = results.join(scores, ["query_id", "chunk_id"]).withColumn("rerank_fallback", F.lit(False)).withColumnRenamed("rank", "original_rank")
+    added = set(results.columns) <= set(scores.columns)
+    joined = scores.select(*results.columns, "rerank_score") if added else results.join(scores.select("query_id", "chunk_id", "rerank_score"), ["query_id", "chunk_id"])
+    joined = joined.withColumn("rerank_fallback", F.lit(False)).withColumnRenamed("rank", "original_rank")
     return ranked(joined, top_k, F.desc("rerank_score"), F.col("original_rank")).drop("original_rank")
 
 
 def pair_scorer(score: Callable, query: str = "original_query", text: str = "text", window: int = 1024) -> Scorer:
     """A scorer from a pandas UDF of (query, text); both are cut to the model's window."""
-    return lambda results: results.select("query_id", "chunk_id", score(F.col(query), F.substring(F.col(text), 1, window * 4)).alias("rerank_score"))
+    return lambda results: results.withColumn("rerank_score", score(F.col(query), F.substring(F.col(text), 1, window * 4)))
 
 
 def model_scores(replies: DataFrame) -> Scorer:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.numeric import hash8
 from lodestone.operators import catalog, evaluation, index, store, traces
-from lodestone.operators.bounds import small
 from lodestone.plans import tables as t
 from lodestone.plans.retrieval import ASKED, POSTINGS, sparse
 from lodestone.streaming.ingest import windowed_counts
@@ -18,7 +17,7 @@ def _truth(spark, d):
 
     items = t.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), normalise(F.col("text")).alias("needle"))
     docs = t.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", normalise(F.col("text")).alias("hay"))
-    return docs.join(small(items, "questions"), F.contains("hay", "needle")).select("query_id", "chunk_id", "source")
+    return evaluation.holding(items, docs).select("query_id", "chunk_id", "source")
 
 
 def _results(spark, d):

@@ -142,7 +142,7 @@ def q_citations(spark, d):
 def q_rerank_by_length(spark, d):
     """A scorer in SQL's reach: the shorter the text, the better."""
     found = hybrid.search(t.asked(spark, d), t.chunks(spark, d), t.index(spark, d), None, top_k=10)
-    scorer = lambda rows: rows.select("query_id", "chunk_id", (-F.length("text")).cast("double").alias("rerank_score"))
+    scorer = lambda rows: rows.withColumn("rerank_score", (-F.length("text")).cast("double"))
     return hybrid.rerank(found, scorer, top_k=5).select("query_id", "chunk_id", "rerank_score", F.col("rank").cast("long").alias("rank"))
 
 
