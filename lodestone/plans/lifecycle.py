@@ -120,7 +120,7 @@ _WINDOWS = ", ".join(f"w[least(floor(len(w) * {at}::DOUBLE), greatest(len(w) - 8
 _SIZES = ", ".join(str(n) for _ in catalog.POSITIONS for n in catalog.LENGTHS)
 
 ORACLE_SQL = {
-    "q_needs_ocr": """WITH p AS (SELECT source, left(text, 26) AS x, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page FROM documents)
+    "q_needs_ocr": """WITH p AS (SELECT source, text AS x, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page FROM documents)
 SELECT source AS doc_id, sum(length(trim(x))) < count(*) * 25 AS ocr FROM p WHERE page <= 3 GROUP BY 1""",
     "q_page_batches": """WITH p AS (SELECT doc_id, CASE WHEN lang <> 'es' THEN floor(n_chars / 500)::INT + 1 END AS n FROM documents)
 SELECT doc_id, 1::INTEGER AS first_page, NULL::INTEGER AS last_page FROM p WHERE n IS NULL OR n <= 3 UNION ALL
