@@ -78,13 +78,16 @@ def scaled_size(width: Column, height: Column, most: int) -> Column:
 #: Media types by file extension, and by first bytes.
 BY_EXTENSION = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp"}
 BY_BYTES = {"89504E47": "image/png", "FFD8FF": "image/jpeg", "47494638": "image/gif", "52494646": "image/webp", "424D": "image/bmp"}
+#: Fixed value: what tells a WebP image from other RIFF files.
+RIFF_KIND = "57454250"
 
 
 def mime_type(path: Column, content: Column) -> Column:
     extension, head = F.lower(F.regexp_extract(path, r"\.([^.]+)$", 1)), F.hex(F.substring(content, 1, 8))
     found = F.lit(None).cast("string")
     for magic, kind in BY_BYTES.items():
-        found = F.coalesce(found, F.when(head.startswith(magic), kind))
+        riff = F.hex(F.substring(content, 9, 4)) == RIFF_KIND if kind == "image/webp" else F.lit(True)
+        found = F.coalesce(found, F.when(head.startswith(magic) & riff, kind))
     known = F.create_map(*[F.lit(x) for pair in BY_EXTENSION.items() for x in pair])
     return F.coalesce(F.try_element_at(known, extension), found, F.lit("image/png"))
 

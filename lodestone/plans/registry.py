@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import lifecycle, measures, retrieval, texts
+from lodestone.plans import details, lifecycle, measures, retrieval, texts
 
-_MODULES = (retrieval, texts, measures, lifecycle)
+_MODULES = (retrieval, texts, measures, lifecycle, details)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
