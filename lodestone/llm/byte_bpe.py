@@ -1,12 +1,16 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-A text longer than ``chunk`` characters is cut into chunks that overlap.  Every chunk is pre-tokenised
-by itself, in parallel threads; at each cut the first position at which both scans have a boundary is
-where they have resynchronised, and the text is split there.  The pieces are encoded one by one, and
-because no pre-token crosses a split, joining their ids gives the ids of the whole text.  A cut at
+A text longer than ``chunk`` plus ``overlap`` characters is cut into chunks that overlap; shorter ones are one
+piece.  Every chunk is pre-tokenised by itself, in parallel threads; where the scans of two neighbours have a
+boundary in common they have resynchronised, and the text is split there.  The pieces are encoded one by
+one, and because no pre-token crosses a split, joining their ids gives the ids of the whole text.  A cut at
 which the scans don't meet inside the overlap is dropped: the pieces beside it stay one.  Decoding
 looks up each id's bytes and joins them.
 
+A scan sees no further than its window, so only boundaries are certain from which to the window's end there
+is more than one pre-token can hold (see ``SURE``).  A piece is matched again by itself, so it never ends in white
+space, the one thing that patterns look beyond (``\\s+(?!\\S)``).
+
 Edge cases: a null text is an empty one and has no ids; texts of any length are encoded whole; repeated
 rows are encoded each; an empty table gives an empty result; all other columns are carried along, and an
 output column takes the place of an input column of its name.  Null ids decode to no bytes.
@@ -56,11 +60,30 @@ def splitter(pattern: str) -> regex.Pattern:
     return regex.compile(pattern)
 
 
+#: No pre-token of the published patterns holds a letter or digit, then other characters than marks and apostrophes,
+#: and then a letter or digit again.
+SURE = regex.compile(r"[\p{L}\p{N}][^\p{L}\p{N}\p{M}'\u2019]+[\p{L}\p{N}]")
+
+
+def sight(text: str, start: int, stop: int) -> int:
+    """The last place from which to ``stop`` there is more than one pre-token holds; ``start`` if there is none."""
+    if stop == len(text):
+        return stop
+    size = 64
+    while True:
+        low, last = max(start, stop - size), None
+        for last in SURE.finditer(text, low, stop, concurrent=True):
+            pass
+        if last is not None or low == start:
+            return last.start() if last else start
+        size *= 8
+
+
 def boundaries(text: str, start: int, stop: int, pattern: regex.Pattern) -> list[int]:
-    """Pre-token boundaries of a scan from ``start``; a match that touches ``stop`` is not certain."""
-    found = [start]
+    """Certain pre-token boundaries of a scan from ``start``, whatever stands behind ``stop``."""
+    found, end = [start], sight(text, start, stop)
     for match in pattern.finditer(text, start, stop, concurrent=True):
-        if match.end() == stop < len(text):
+        if match.end() > end:
             break
         found.append(match.end())
     return found
@@ -73,16 +96,18 @@ def split(text: str, pattern: regex.Pattern, chunk: int, overlap: int) -> list[s
     starts = list(range(0, len(text), chunk))
     with ThreadPoolExecutor() as pool:
         scans = list(pool.map(lambda s: boundaries(text, s, min(len(text), s + chunk + overlap), pattern), starts))
-    cuts, certain = [0], scans[0]
+    cuts, certain, missed = [0], scans[0], 0
     for start, scan in zip(starts[1:], scans[1:], strict=True):
-        met = set(certain).intersection(scan)
-        at = min((p for p in met if p >= start), default=None)
-        if at is None:  # the left scan goes on through this chunk from its last certain boundary
-            certain = boundaries(text, certain[-1], min(len(text), start + chunk + overlap), pattern)
-        else:
-            certain = [p for p in scan if p >= at]
+        met = sorted(p for p in set(certain).intersection(scan) if p >= start)
+        if met:
+            certain, missed = [p for p in scan if p >= met[0]], 0
+            at = next((p for p in met if not text[p - 1].isspace()), len(text))
             if cuts[-1] < at < len(text):
                 cuts.append(at)
+        else:  # the left scan goes on from its last certain boundary; each time it is to see twice as far
+            missed += 1
+            if missed & (missed - 1) == 0:
+                certain = boundaries(text, certain[-1], min(len(text), start + missed * chunk + overlap), pattern)
     return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
 
 
