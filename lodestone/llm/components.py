@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import cut, discard
 
 
-def _large(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node moves to the least of the node and its neighbours."""
+def _large(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every larger neighbour of a node moves to the least of the node and its neighbours; and the table of the least."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("least")), "components-least")
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v"))
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v")), least
 
 
-def _small(edges: DataFrame) -> DataFrame:
-    """A node and its smaller neighbours move to the least of them."""
+def _small(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A node and its smaller neighbours move to the least of them; and the table of the least."""
     least = cut(edges.groupBy("u").agg(F.min("v").alias("least")), "components-least")
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v")
-    return moved.union(least.select("u", F.col("least").alias("v")))
+    return moved.union(least.select("u", F.col("least").alias("v"))), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -35,6 +35,10 @@ def components(edges: DataFrame) -> DataFrame:
     held = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
     before, now = None, told(held)
     while now != before and now[0]:
-        held = cut(_small(cut(_large(held).distinct(), "components")).distinct(), "components")
+        for star in (_large, _small):
+            moved, least = star(held)
+            moved = cut(moved.distinct(), "components")
+            discard(held, least)
+            held = moved
         before, now = now, told(held)
     return held.select(F.col("u").alias("node"), F.col("v").alias("root")).union(held.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -32,19 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, map_arrow, parts, pick, texts
+from lodestone.llm.common import cut, discard, map_arrow, parts, pick, texts
 from lodestone.llm.components import components
 from lodestone.llm.minhash import band_keys, fingerprint, shingles, signature
 
 BANDS, ROWS = 64, 6
 #: Buckets that a node must share before it is looked at.
 SHARED = 2
-#: Nodes of one side of a block, and rows of a group of blocks.
-BLOCK, GROUP = 256, 2000
+#: Nodes of one side of a block, their shingles, and rows of a group of blocks.
+BLOCK, BLOCK_SHINGLES, GROUP = 256, 1 << 21, 2000
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """row, doc_id, n, fa, fb and bands of every document; no bands without shingles."""
+    """row, doc_id, text_hash, n, fa, fb and bands of every document; no bands without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
@@ -52,16 +52,16 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             made = [(len(s), *fingerprint(s), band_keys(signature(s, bands * rows), rows) if len(s) else None) for s in sets]
             n, fa, fb, keys = zip(*made)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fa, pa.int64()), pa.array(fb, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["row", "doc_id", "n", "fa", "fb", "bands"],
+                [batch.column("row"), batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(fa, pa.int64()), pa.array(fb, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["row", "doc_id", "text_hash", "n", "fa", "fb", "bands"],
             )
 
-    rows_of = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return map_arrow(rows_of, run, "row long, doc_id long, n long, fa long, fb long, bands array<long>")
+    rows_of = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return map_arrow(rows_of, run, "row long, doc_id long, text_hash long, n long, fa long, fb long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
-    """node and its sorted shingle hashes, read again from a document that has the set.
+    """node and its sorted shingle hashes, read again from a document that has the set: the id and the text's hash name it, as ids repeat.
 
     Texts and nodes always meet by a merge join, as the number of nodes follows the corpus.
     """
@@ -76,8 +76,9 @@ def full_sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
                 nodes, sets = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    wanted = needed.select("node", "fa", "fb", F.col("first_id").alias("id"))
-    joined = docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "fa", "fb", "text")
+    wanted = needed.select("node", "fa", "fb", F.col("read_id").alias("id"), "text_hash")
+    named = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    joined = named.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("text_hash"))).select("node", "fa", "fb", "text")
     return map_arrow(joined, run, "node long, hashes array<long>").dropDuplicates(["node"])
 
 
@@ -119,21 +120,27 @@ def block_links(us: list[np.ndarray], ms: list[np.ndarray], u_roots: np.ndarray,
 def remaining_links(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Links between components that share a bucket, found in blocks; None if every bucket is settled.
 
-    ``members`` has key and node of the buckets with three nodes or more (with two, the one pair has
+    ``members`` has key, node and n (its shingles) of the buckets with three nodes or more (with two, the one pair has
     been verified).  Buckets with the same nodes count once.
     """
     same = members.groupBy("key").agg(F.sum(F.xxhash64("node") % (1 << 40)).alias("a"), F.sum(F.xxhash64("node", F.lit(1)) % (1 << 40)).alias("b"), F.count(F.lit(1)).alias("size"))
     once = same.groupBy("a", "b", "size").agg(F.min("key").alias("key")).select("key")
     rooted = members.join(once, "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = cut(rooted, "near-dup-rooted")
-    counts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("size"))
-    main = main.filter("roots > 1").select("key", F.col("most.root").alias("main"), F.col("most.n").alias("n_main"), "size")
-    open_ = cut(rooted.join(cut(main, "near-dup-main").hint("merge"), "key"), "near-dup-open")
+    counts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles"))
+    main = counts.groupBy("key").agg(
+        F.max(F.struct("nodes", "root", "shingles")).alias("most"), F.count(F.lit(1)).alias("roots"), F.sum("nodes").alias("size"), F.sum("shingles").alias("shingles"),
+    )
+    u_size, u_shingles = F.col("size") - F.col("most.nodes"), F.col("shingles") - F.col("most.shingles")
+    blocks = lambda n, shingles: F.greatest(F.ceil(n / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+    main = main.filter("roots > 1").select("key", F.col("most.root").alias("main"), blocks(u_size, u_shingles).alias("u_blocks"), blocks(F.col("size"), F.col("shingles")).alias("m_blocks"))
+    main = cut(main, "near-dup-main")
+    open_ = cut(rooted.join(main.hint("merge"), "key"), "near-dup-open")
+    discard(rooted, main)
     total = open_.agg(F.count(F.lit(1)).alias("n")).first().n
     if not total:
         return None
-    u_blocks, m_blocks = [F.ceil((F.col("size") - F.col(n)) / BLOCK).cast("int") if n else F.ceil(F.col("size") / BLOCK).cast("int") for n in ("n_main", None)]
+    u_blocks, m_blocks = F.col("u_blocks"), F.col("m_blocks")
     place = lambda blocks, salt: F.pmod(F.xxhash64("node", F.lit(salt)), blocks).cast("int")
     each = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
     u_rows = open_.filter("root <> main").select("key", "node", "root", F.lit(True).alias("outer"), place(u_blocks, 2).alias("ub"), each(m_blocks).alias("mb"))
@@ -154,43 +161,52 @@ def remaining_links(members: DataFrame, roots: DataFrame, sets: DataFrame, perce
                 found += [(nodes[us[i]], nodes[ms[j]]) for i, j in links]
         return pa.table([[int(x[s]) for x in found] for s in (0, 1)], schema=schema)
 
-    return rows.select("group", "key", "node", "root", "outer", "hashes").groupBy("group").applyInArrow(one, "u long, v long")
+    found = cut(rows.select("group", "key", "node", "root", "outer", "hashes").groupBy("group").applyInArrow(one, "u long, v long"), "near-dup-rest")
+    discard(open_)
+    return found
 
 
 def near_duplicates(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+    """doc_id, n_shingles, component_id and kept of every document; then text_hash, and group, the same for linked documents alone, null without links."""
     docs = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     signed = cut(signatures(docs, width, bands, rows), "near-dup-signatures")
     nodes = signed.filter("n > 0").groupBy("fa", "fb").agg(
-        F.first("n").alias("n"), F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"),
+        F.first("n").alias("n"), F.min("row").alias("node"), F.min_by("doc_id", "row").alias("read_id"), F.min_by("text_hash", "row").alias("text_hash"),
+        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"),
     )
     nodes = cut(nodes, "near-dup-nodes")
-    banded = nodes.select("node", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
-    met = cut(banded.join(cut(shared, "near-dup-shared").hint("merge"), "key"), "near-dup-met")
-    busy = met.groupBy("node").agg(F.count(F.lit(1)).alias("buckets")).filter(F.col("buckets") >= SHARED).select("node")
-    met = cut(met.join(busy, "node"), "near-dup-busy")
-    centers = met.groupBy("key").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = cut(met.join(cut(centers, "near-dup-centers").hint("merge"), "key"), "near-dup-members")
-    small = nodes.select("node", "n")
-    pairs = members.filter("node <> center").select("node", "center").distinct()
-    pairs = pairs.join(small, "node").join(small.select(F.col("node").alias("center"), F.col("n").alias("m")), "center").filter(sizes_allow("n", "m", percent))
-    pairs = cut(pairs, "near-dup-pairs")
-    needed = cut(members.select("node").distinct().join(nodes.drop("bands", "n", "copies"), "node"), "near-dup-needed")
+    banded = nodes.select("node", "n", F.explode("bands").alias("key"))
+    shared = cut(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key"), "near-dup-shared")
+    all_met = cut(banded.join(shared.hint("merge"), "key"), "near-dup-met")
+    busy = all_met.groupBy("node").agg(F.count(F.lit(1)).alias("buckets")).filter(F.col("buckets") >= SHARED).select("node")
+    met = cut(all_met.join(busy, "node"), "near-dup-busy")
+    discard(shared, all_met)
+    centers = met.groupBy("key").agg(F.min("node").alias("center"), F.min_by("n", "node").alias("m"), F.count(F.lit(1)).alias("size"))
+    centers = cut(centers.filter("size > 1"), "near-dup-centers")
+    members = cut(met.join(centers.hint("merge"), "key"), "near-dup-members")
+    discard(met, centers)
+    pairs = cut(members.filter("node <> center").filter(sizes_allow("n", "m", percent)).select("node", "center", "n", "m").distinct(), "near-dup-pairs")
+    needed = cut(members.select("node").distinct().join(nodes.drop("bands", "n", "copies", "first_id"), "node"), "near-dup-needed")
     sets = cut(full_sets(docs, needed, width), "near-dup-sets")
     left = pairs.join(sets, "node").select("node", "center", "n", "m", F.col("hashes").alias("left"))
     both = left.join(sets.select(F.col("node").alias("center"), F.col("hashes").alias("right")), "center")
     links = cut(both.filter(similar("n", "m", F.size(F.array_intersect("left", "right")), percent)).select(F.col("node").alias("u"), F.col("center").alias("v")), "near-dup-links")
+    discard(pairs, needed)
     roots = components(links)
-    rest = remaining_links(members.filter("size > 2").select("key", "node"), roots, sets, percent)
+    rest = remaining_links(members.filter("size > 2").select("key", "node", "n"), roots, sets, percent)
     if rest is not None:
-        roots = components(links.union(cut(rest, "near-dup-rest")))
+        roots = components(links.union(rest))
+        discard(rest)
+    discard(members, sets, links)
     grouped = nodes.select("fa", "fb", "node", "first_id", "copies").join(roots, "node", "left").filter("copies > 1 or root is not null")
-    grouped = grouped.select("fa", "fb", "first_id", F.coalesce("root", "node").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("first_id").alias("least"))
-    named = grouped.join(least, "root").select("fa", "fb", "least", F.lit(True).alias("grouped"))
-    out = signed.select("doc_id", "n", "fa", "fb").join(named, ["fa", "fb"], "left")
-    component = F.when(F.col("grouped") & (F.col("n") > 0), F.col("least")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    grouped = grouped.select("fa", "fb", "first_id", F.coalesce("root", "node").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("first_id").alias("least"))
+    named = grouped.join(least, "group").select("fa", "fb", "least", "group")
+    out = signed.select("doc_id", "text_hash", "n", "fa", "fb").join(named, ["fa", "fb"], "left")
+    linked = F.col("group").isNotNull() & (F.col("n") > 0)
+    component = F.when(linked, F.col("least")).otherwise(F.col("doc_id"))
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", F.when(linked, F.col("group")).alias("group"),
+    )

@@ -9,7 +9,7 @@ from lodestone.llm.near_dup import near_duplicates
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 #: Every pair that shares a shingle is compared, and components are found by recursion.

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 
+from lodestone.llm import near_dup
+from lodestone.llm.common import shared_dir
 from lodestone.llm.components import components
 from lodestone.llm.minhash import shingles, signature
 from lodestone.llm.near_dup import near_duplicates
@@ -75,3 +78,31 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(7, 7)]
     out = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(out[i] == 0 for i in range(201)) and all(out[i] == 1000 for i in range(1000, 1300)) and len(out) == 501
+
+
+def test_a_bucket_of_many_nodes(spark):
+    """Two words and one of 700 others: all sets share bands, and are linked or not by their other words."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(24)]
+    rows = [(i, " ".join([*base[: 20 + i % 5], f"own{i}", *([f"end{i % 9}"] * (i % 2))])) for i in range(700)]
+    rows += [(None, f"{' '.join(base)} null{i}") for i in range(300)] + [(None, "the same text of several words")] * 200 + [(5, f"id five again {rng.random()}") for _ in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    out = near_duplicates(df, width=2).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in out) == brute(rows, 2)
+
+
+def test_blocks_of_long_sets(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    rng = random.Random(12)
+    rows = corpus(rng, 30, 40)
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(rows, 2)
+
+
+def test_written_tables_are_removed(spark):
+    shared = Path(shared_dir(spark)) / "lodestone"
+    before = set(shared.glob("*")) if shared.exists() else set()
+    near_duplicates(spark.createDataFrame(corpus(random.Random(3), 20, 10), "doc_id long, text string"), width=2).collect()
+    left = {p.name.rsplit("-", 1)[0] for p in set(shared.glob("*")) - before}
+    assert left <= {"near-dup-signatures", "near-dup-nodes", "components"}
