@@ -2,9 +2,9 @@
 stays, and what is left is packed into sequences.
 
 Every stage works on all that the one before it kept, and returns the columns of documents; the last
-returns the pieces.  Rows that repeat a doc_id are documents of their own to every decision but one: an
-id stays after the third stage, with all its rows, if the decision keeps any of them.  Null texts hold
-nothing toxic, no lines and no shingles, and are packed as the end id alone.
+returns the pieces.  Rows that repeat a doc_id are documents of their own to every decision; of rows that
+repeat both id and text, and hold words, one stays.  Null texts hold nothing toxic, no lines and no shingles,
+all of them stay, and they are packed as the end id alone.
 """
 
 from __future__ import annotations
@@ -37,10 +37,19 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, on five-word shingles at a similarity of 0.8."""
-    found = near_duplicates(docs, width=5, percent=80)
-    gone = cut(found.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter(~F.col("kept")).select(F.col("doc_id").alias("gone")), "pipeline-gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    """One document of each group, on five-word shingles at a similarity of 0.8: the one with the least id, and of its rows the one with the least hash of the text."""
+    found = cut(near_duplicates(docs, width=5, percent=80).filter("group is not null").select("doc_id", "text_hash", "group"), "pipeline-grouped")
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("stays"))
+    seen = found.groupBy("group", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    stays = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("text_hash") == F.col("stays.text_hash"))
+    decided = cut(seen.join(first, "group").select(F.col("doc_id").alias("id"), "text_hash", stays.alias("stays"), "rows"), "pipeline-decided")
+    texts = F.xxhash64("text")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (texts == F.col("text_hash"))
+    left = docs.join(decided.filter(~F.col("stays")), same, "left_anti")
+    again = decided.filter("stays and rows > 1")
+    if again.isEmpty():
+        return left
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
