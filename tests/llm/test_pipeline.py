@@ -37,3 +37,14 @@ def test_stages(spark):
     assert {r.doc_id: r.doc_tokens for r in pieces} == tokens
     assert sum(r.length for r in pieces) == sum(tokens.values())
     assert corpus_pipeline.run(spark, SF).count() == len(pieces)
+
+
+def test_rows_that_repeat_an_id(spark):
+    """Of equal rows with words one stays, and of one id's rows each that is no near-duplicate of another."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, text), (1, text + " more"), (2, text), (3, "quite other words"), (3, "quite other words"), (3, "and a third text"), (4, None), (4, None), (None, text + " x"), (None, "null id alone"), (None, "null id alone")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(corpus_pipeline.STAGES)["near-duplicates"](spark, docs, SF).collect()
+    assert len([r for r in out if r.doc_id == 1]) == 1 and not [r for r in out if r.doc_id == 2]
+    left = sorted((str(r.doc_id), str(r.text)) for r in out if r.doc_id != 1)
+    assert left == sorted([("3", "quite other words"), ("3", "and a third text"), ("4", "None"), ("4", "None"), ("None", "null id alone")])
