@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, spare, table
+from lodestone.llm.common import cut, discard, spare, table
 from lodestone.llm.line_dedup import drop_boilerplate
 from lodestone.llm.near_dup import near_duplicates
 from lodestone.llm.packing import pack_documents
@@ -39,10 +39,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, on five-word shingles at a similarity of 0.8: the one with the least id, and of its rows the one with the least hash of the text."""
     found = cut(near_duplicates(docs, width=5, percent=80).filter("group is not null").select("doc_id", "text_hash", "group"), "pipeline-grouped")
-    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("stays"))
-    seen = found.groupBy("group", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    # Both sums are written, as Spark splits a hot group only in a join without an aggregation below it.
+    first = cut(found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("stays")), "pipeline-first")
+    seen = cut(found.groupBy("group", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows")), "pipeline-seen")
     stays = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("text_hash") == F.col("stays.text_hash"))
     decided = cut(seen.join(first, "group").select(F.col("doc_id").alias("id"), "text_hash", stays.alias("stays"), "rows"), "pipeline-decided")
+    discard(found, first, seen)
     texts = F.xxhash64("text")
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (texts == F.col("text_hash"))
     left = docs.join(decided.filter(~F.col("stays")), same, "left_anti")
