@@ -30,6 +30,8 @@ class Library:
         queries = self.stores.spark.createDataFrame(rows, "query_id string, query string, vector array<float>")
         chunks = self.stores.chunks.read().filter(F.col("collection") == collection)
         found = hybrid.search(queries, chunks, self.stores.index_of(collection), chunks if self.encode else None, top_k=pool, dense_k=max(20, pool), sparse_k=max(20, pool))
+        if self.scorer:
+            found = found.join(queries.select("query_id", F.col("query").alias("original_query")), "query_id")
         return hybrid.rerank(found, self.scorer, top_k=k)
 
     def query_knowledge_hub(self, query: str, top_k: int | None = None, collection: str | None = None) -> list[dict]:

@@ -15,9 +15,29 @@ from lodestone.functions.numeric import centre_distance, draft_chunk_id
 #: Section types that end a run of text, and those that are left out.
 HARD = ("table", "list", "equation")
 LEFT_OUT = ("header", "footer")
+#: Labels of layout models' items and the section types they stand for; other labels are text.
+LABELS = {
+    "title": "title", "section_header": "title", "text": "text", "paragraph": "text", "table": "table", "picture": "figure", "figure": "figure",
+    "formula": "text", "caption": "figure_caption", "footnote": "text", "list_item": "text", "page_header": "header", "page_footer": "footer",
+}
+#: The least width and height of a figure, in points.
+LEAST_FIGURE = 50
 SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ", "")
 
 
+def typed_sections(items: DataFrame) -> DataFrame:
+    """doc_id, pos, type, text, page, bbox and html of a layout model's items (doc_id, pos, label, text, page, bbox), for ``segments``.
+
+    Items without text are left out, but for figures, which stay if their box is large enough; a table's text is its html as well.
+    """
+    known = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
+    rows = items.withColumns({"type": F.coalesce(F.try_element_at(known, F.lower("label")), F.lit("text")), "text": F.coalesce("text", F.lit(""))})
+    box = F.col("bbox")
+    large = (box["x1"] - box["x0"] >= LEAST_FIGURE) & (F.abs(box["bottom"] - box["top"]) >= LEAST_FIGURE)
+    kept = rows.filter((F.trim("text") != "") | ((F.col("type") == "figure") & F.coalesce(large, F.lit(False))))
+    return kept.select("doc_id", "pos", "type", "text", "page", "bbox", F.when(F.col("type") == "table", F.col("text")).alias("html"))
+
+
 def segments(sections: DataFrame) -> DataFrame:
     """doc_id, segment, type, text, page, bbox, table_html: runs of text, and tables, lists and equations alone.
 

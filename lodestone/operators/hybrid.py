@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lodestone.operators import dense as dense_search
 from lodestone.operators.filters import drop_references, matches, process_queries
@@ -54,7 +56,7 @@ def rerank(results: DataFrame, scorer: Scorer | None, *, top_k: int) -> DataFram
 
     ``scorer`` takes results and returns them with rerank_score, which needs no join, or else query_id, chunk_id
     and rerank_score alone.  Without one the order stays.  Queries with one result stay as they are; a scorer that
-    fails on planning leaves the order and marks the rows.
+    fails on planning leaves the order and marks the rows, and so does a null score for the rows of its query.
     """
     plain = results.withColumns({"rerank_score": F.lit(None).cast("double"), "rerank_fallback": F.lit(False)})
     if scorer is None:
@@ -66,7 +68,9 @@ def rerank(results: DataFrame, scorer: Scorer | None, *, top_k: int) -> DataFram
         return plain.withColumn("rerank_fallback", F.lit(True)).filter(F.col("rank") <= top_k)
     added = set(results.columns) <= set(scores.columns)
     joined = scores.select(*results.columns, "rerank_score") if added else results.join(scores.select("query_id", "chunk_id", "rerank_score"), ["query_id", "chunk_id"])
-    joined = joined.withColumn("rerank_fallback", F.lit(False)).withColumnRenamed("rank", "original_rank")
+    failed = F.max(F.col("rerank_score").isNull()).over(W.partitionBy("query_id"))
+    joined = joined.withColumn("rerank_fallback", failed).withColumnRenamed("rank", "original_rank")
+    joined = joined.withColumn("rerank_score", F.when(~F.col("rerank_fallback"), F.col("rerank_score")))
     return ranked(joined, top_k, F.desc("rerank_score"), F.col("original_rank")).drop("original_rank")
 
 
@@ -75,6 +79,24 @@ def pair_scorer(score: Callable, query: str = "original_query", text: str = "tex
     return lambda results: results.withColumn("rerank_score", score(F.col(query), F.substring(F.col(text), 1, window * 4)))
 
 
+def guarded_scorer(score: Callable[[list[str], list[str]], list[float]], query: str = "original_query", text: str = "text", window: int = 1024) -> Scorer:
+    """A scorer from a function of queries and texts that may fail while it runs: the scores of a batch that fails are null."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for asked, texts in batches:
+            try:
+                made = [float(x) for x in score(asked.tolist(), texts.tolist())]
+                if len(made) != len(asked):
+                    raise ValueError(f"{len(made)} scores for {len(asked)} texts")
+            except Exception:
+                LOG.exception("the scorer failed on a batch")
+                made = [None] * len(asked)
+            yield pd.Series(made, dtype="Float64")
+
+    return pair_scorer(run, query, text, window)
+
+
 def model_scores(replies: DataFrame) -> Scorer:
     """A scorer from a model's replies (query_id, reply): unknown ids and unscored results drop out."""
     from lodestone.functions.text import parse_scores

@@ -136,6 +136,16 @@ def q_layout_chunks(spark, d):
     return chunking.layout_chunks(pieces).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_id", *flags)
 
 
+def q_typed_sections(spark, d):
+    """Line items stand in for a layout model's items: labels by part, boxes by quantity and supplier."""
+    side = F.col("l_quantity").cast("double")
+    box = F.struct(F.lit(0.0).alias("x0"), F.lit(100.0).alias("top"), (side * 2).alias("x1"), (F.lit(100.0) - F.col("l_suppkey") % 100).alias("bottom"))
+    items = t.table(spark, d, "lineitem").select(
+        _text("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), _list(["TITLE", "Paragraph", "table", "PICTURE", "caption", "Page_Header", "unheard"], "l_partkey").alias("label"),
+        F.when(F.col("l_partkey") % 3 == 0, F.lit(" ")).when(F.col("l_partkey") % 5 > 0, F.col("l_returnflag")).alias("text"), F.lit(1).alias("page"), box.alias("bbox"))
+    return chunking.typed_sections(items).select("doc_id", "pos", "type", "text", "html")
+
+
 def q_lines_of_words(spark, d):
     """Line items stand in for words: an order is a page, a line has the items of one flag and status."""
     rows = t.table(spark, d, "lineitem").filter("l_linenumber <= 7")
@@ -282,6 +292,9 @@ n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY segment) - 1 AS
 SELECT doc_id, chunk_index, doc_id || '_' || printf('%04d', chunk_index) || '_' || left(sha256(text), 8) AS chunk_id, section_type, text FROM n""",
     "q_layout_chunks": """WITH x AS (SELECT conv_id::VARCHAR AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS chunk_index, CASE WHEN turn % 2 = 0 THEN role || chr(10) || 'part' || chr(10) || text ELSE text END AS whole, length(text) % 3 AS m FROM conversations)
 SELECT doc_id, chunk_index, doc_id || '_' || printf('%04d', chunk_index) || '_' || left(sha256(whole), 8) AS chunk_id, m = 0 AS contains_table, m > 0 AS contains_text, m = 2 AS contains_figure FROM x""",
+    "q_typed_sections": """WITH x AS (SELECT l_orderkey::VARCHAR AS doc_id, l_linenumber AS pos, ['title', 'text', 'table', 'figure', 'figure_caption', 'header', 'text'][(l_partkey % 7 + 1)::INT] AS type,
+  CASE WHEN l_partkey % 3 = 0 THEN ' ' WHEN l_partkey % 5 > 0 THEN l_returnflag ELSE '' END AS text, l_quantity::DOUBLE * 2 AS width, l_suppkey % 100 AS height FROM lineitem)
+SELECT doc_id, pos, type, text, CASE WHEN type = 'table' THEN text END AS html FROM x WHERE trim(text) <> '' OR (type = 'figure' AND width >= 50 AND height >= 50)""",
     "q_lines_of_words": """WITH w AS (SELECT l_orderkey, l_partkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS line, l_linenumber % 3 AS off FROM lineitem WHERE l_linenumber <= 7),
 g AS (SELECT l_orderkey, line, min(off) AS off, string_agg(l_partkey::VARCHAR, ' ' ORDER BY l_linenumber) AS text FROM w GROUP BY 1, 2)
 SELECT l_orderkey::VARCHAR AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY line) - 1 AS line, (line * 20 + off)::DOUBLE AS top, text FROM g""",

@@ -31,7 +31,14 @@ def hashing(dim: int = 256) -> Embed:
     return embed
 
 
-PROVIDERS: dict[str, Callable[..., Embed]] = {"hashing": hashing}
+def http(**options) -> Embed:
+    """Vectors of a service; its options are those of ``models.http_embedding``."""
+    from lodestone.sources.models import http_embedding
+
+    return http_embedding(**options)
+
+
+PROVIDERS: dict[str, Callable[..., Embed]] = {"hashing": hashing, "http": http}
 
 
 def provider(name: str, **options) -> Embed:

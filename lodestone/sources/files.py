@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import io
 import re
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.numeric import document_id
+from lodestone.functions.numeric import document_id, image_id
 from lodestone.functions.text import first_title
 
 
@@ -32,19 +33,62 @@ def hashed(files: DataFrame) -> DataFrame:
 W_NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+def _runs(element: ET.Element) -> str:
+    return "".join(t.text or "" for t in element.iter(f"{W_NS}t")).strip()
+
+
+def _paragraph(paragraph: ET.Element) -> str:
+    text, style = _runs(paragraph), paragraph.find(f"{W_NS}pPr/{W_NS}pStyle")
+    name = (style.get(f"{W_NS}val") or "").lower() if style is not None else ""
+    level = 1 if name == "title" else int(re.sub(r"\D", "", name) or 0) if name.startswith("heading") else 0
+    return f"{'#' * min(level, 6)} {text}" if text and level else text
+
+
+def _grid(table: ET.Element) -> str:
+    """Rows as a Markdown table, the first as its head; short rows are filled up."""
+    rows = [[" ".join(filter(None, map(_runs, cell.iter(f"{W_NS}p")))).replace("|", "\\|") for cell in row.findall(f"{W_NS}tc")] for row in table.findall(f"{W_NS}tr")]
+    width = max(map(len, rows), default=0)
+    if not width:
+        return ""
+    shown = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
+    return "\n".join([shown[0], "|" + " --- |" * width, *shown[1:]])
+
+
 def docx_text(content: bytes) -> str:
-    """Paragraphs as Markdown: Title and Heading n styles become # marks."""
+    """Paragraphs and tables in page order as Markdown: Title and Heading n styles become # marks."""
     with zipfile.ZipFile(io.BytesIO(content)) as package:
-        body = ET.fromstring(package.read("word/document.xml"))
-    out = []
-    for paragraph in body.iter(f"{W_NS}p"):
-        text = "".join(t.text or "" for t in paragraph.iter(f"{W_NS}t")).strip()
-        style = paragraph.find(f"{W_NS}pPr/{W_NS}pStyle")
-        name = (style.get(f"{W_NS}val") or "").lower() if style is not None else ""
-        level = 1 if name == "title" else int(re.sub(r"\D", "", name) or 0) if name.startswith("heading") else 0
-        if text:
-            out.append(f"{'#' * min(level, 6)} {text}" if level else text)
-    return "\n\n".join(out)
+        body = ET.fromstring(package.read("word/document.xml")).find(f"{W_NS}body")
+
+    def blocks(element: ET.Element) -> Iterator[str]:
+        for child in element:
+            if child.tag == f"{W_NS}p":
+                yield _paragraph(child)
+            elif child.tag == f"{W_NS}tbl":
+                yield _grid(child)
+            else:
+                yield from blocks(child)
+
+    return "\n\n".join(filter(None, blocks(body))) if body is not None else ""
+
+
+def docx_media(files: DataFrame) -> DataFrame:
+    """image_id, doc_hash, page, seq, name and content of the media in word processor files, by name; all are on page 1.
+
+    A file that can't be opened has none.
+    """
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as package:
+                        names = sorted(n for n in package.namelist() if n.startswith("word/media/") and not n.endswith("/"))
+                        made = [(hashlib.sha256(content).hexdigest(), i, n.rsplit("/", 1)[1], package.read(n)) for i, n in enumerate(names, 1)]
+                except (zipfile.BadZipFile, OSError, RuntimeError):
+                    continue
+                yield pd.DataFrame(made, columns=["doc_hash", "seq", "name", "content"])
+
+    rows = files.filter(F.lower("path").endswith(".docx")).select("content").mapInPandas(read, "doc_hash string, seq int, name string, content binary")
+    return rows.select(image_id(F.col("doc_hash"), F.lit(1), F.col("seq")).alias("image_id"), "doc_hash", F.lit(1).alias("page"), "seq", "name", "content")
 
 
 def html_text(content: bytes) -> str:

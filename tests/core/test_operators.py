@@ -102,6 +102,11 @@ def test_hybrid_and_rerank(spark, chunks):
         raise OSError("no model")
 
     assert all(r.rerank_fallback for r in hybrid.rerank(base, broken, top_k=5).collect())
+    asked = base.withColumn("original_query", F.col("query_id"))
+    by_length = hybrid.rerank(asked, hybrid.guarded_scorer(lambda q, t: [-len(x) for x in t]), top_k=5).collect()
+    assert [r.rerank_score for r in sorted(by_length, key=lambda r: r["rank"])] == sorted((-float(len(r.text)) for r in base.collect()), reverse=True)
+    failing = hybrid.rerank(asked, hybrid.guarded_scorer(lambda q, t: [1.0] * (len(t) + 1)), top_k=5)
+    assert rows(failing, "chunk_id", "rank") == rows(base, "chunk_id", "rank") and all(r.rerank_fallback and r.rerank_score is None for r in failing.collect())
     replies = spark.createDataFrame([("q", '[{"passage_id": "a_0001_2", "score": 9}, {"passage_id": "zz", "score": 10}]')], "query_id string, reply string")
     assert rows(hybrid.rerank(base, hybrid.model_scores(replies), top_k=5), "chunk_id", "rank") == [("a_0001_2", 1)]
 

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
+import logging
+import sys
+import threading
 import zipfile
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +15,7 @@ from pyspark.sql import functions as F
 from lodestone.operators.store import Table
 from lodestone.plans import lifecycle
 from lodestone.schema import HISTORY
-from lodestone.sources import embeddings, files, records
+from lodestone.sources import embeddings, files, models, records
 from lodestone.streaming.ingest import ingest, watch, windowed_counts
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -78,6 +82,81 @@ def test_settings():
             records.settings(bad)
 
 
+def test_settings_of_yaml_and_their_cards(spark, tmp_path):
+    (tmp_path / "s.yaml").write_text("reranking:\n  enabled: true\n  provider: llm\nembedding: {provider: http, model: m, dimensions: 8}\nsplitting:\n")
+    held = records.settings(str(tmp_path / "s.yaml"))
+    assert (held.reranking.provider, held.embedding.model, held.splitting.chunk_size) == ("llm", "m", 1000)
+    assert records.settings({"embedding": {"model": "x"}}).embedding.provider == "hashing"
+    for bad in ("- a", "llm: 3", "embedding: {size: 3}"):
+        (tmp_path / "s.yaml").write_text(bad)
+        with pytest.raises(ValueError):
+            records.settings(str(tmp_path / "s.yaml"))
+    found = {r.component: r for r in records.cards(spark, held).collect()}
+    assert found["reranking"].provider == "llm" and json.loads(found["embedding"].details) == {"dimensions": 8} and "vision" not in found
+
+
+def test_log_lines():
+    record = logging.makeLogRecord({"name": "n", "levelname": "INFO", "msg": "got %s", "args": ("é",), "stage": "load", "odd": {1}})
+    got = json.loads(records.JsonLines().format(record))
+    assert (got["message"], got["logger"], got["stage"], got["odd"], got["level"]) == ("got é", "n", "load", "{1}", "INFO") and "msg" not in got
+    try:
+        raise KeyError("k")
+    except KeyError:
+        record.exc_info = sys.exc_info()
+    assert "KeyError" in json.loads(records.JsonLines().format(record))["exception"]
+
+
+def test_tables_and_media_of_word_files(spark, tmp_path):
+    p = lambda x: f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>"
+    row = lambda *xs: "<w:tr>" + "".join(f"<w:tc>{p(x)}</w:tc>" for x in xs) + "</w:tr>"
+    body = f"<w:document {W}><w:body>{p('before')}<w:tbl>{row('a', 'b|c')}{row('1')}</w:tbl>{p('after')}<w:tbl/></w:body></w:document>"
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", body)
+        z.writestr("word/media/image2.png", b"two")
+        z.writestr("word/media/image1.png", b"one")
+    (tmp_path / "b.docx").write_bytes(b"broken")
+    assert files.docx_text((tmp_path / "a.docx").read_bytes()) == "before\n\n| a | b\\|c |\n| --- | --- |\n| 1 |  |\n\nafter"
+    got = files.docx_media(files.discover(spark, str(tmp_path), (".docx",))).orderBy("seq").collect()
+    assert [(r.name, bytes(r.content), r.page, r.image_id == f"{r.doc_hash[:8]}_1_{r.seq}") for r in got] == [("image1.png", b"one", 1, True), ("image2.png", b"two", 1, True)]
+
+
+class Service(BaseHTTPRequestHandler):
+    """A model's service that refuses its first call for load."""
+
+    calls = 0
+
+    def do_POST(self):  # noqa: N802
+        body, kind = json.loads(self.rfile.read(int(self.headers["Content-Length"]))), type(self)
+        kind.calls += 1
+        status = 429 if kind.calls == 1 else 400 if body["model"] == "bad" else 200
+        if "input" in body:
+            reply = {"data": [{"index": i, "embedding": [float(len(x)), 0.0]} for i, x in reversed(list(enumerate(body["input"])))]}
+        else:
+            reply = {"choices": [{"message": {"content": body["messages"][-1]["content"].upper()}}]}
+        self.send_response(status)
+        self.end_headers()
+        self.wfile.write(json.dumps(reply).encode())
+
+    def log_message(self, *_):
+        pass
+
+
+def test_services(spark):
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    address = f"http://127.0.0.1:{server.server_port}/v1"
+    try:
+        assert embeddings.provider("http", address=address, model="m", pause=0.0)(["a", "bcd"]) == [[1.0, 0.0], [3.0, 0.0]] and Service.calls == 2
+        rows = spark.createDataFrame([(1, "ab"), (2, None), (3, " ")], "id int, text string")
+        ask = lambda model: {r.id: r.reply for r in rows.select("id", models.replies(F.col("text"), models.http_chat(address, model)).alias("reply")).collect()}
+        assert ask("m") == {1: "AB", 2: None, 3: None} and ask("bad")[1] is None
+        with pytest.raises(models.ServiceError, match="400"):
+            models.http_chat(address, "bad")("x")
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
 def test_embeddings(spark):
     rows = spark.createDataFrame([("a", "some words"), ("b", "some words"), ("c", "other")], "id string, text string")
     got = {r.id: list(r.embedding) for r in embeddings.embed(rows, embeddings.provider("hashing", dim=16), dim=16).collect()}
