@@ -59,6 +59,26 @@ def discard(*tables: DataFrame) -> None:
             place.getFileSystem(made.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Words of 64 bits in the filter of ``likely``, which bounds what is broadcast.
+FILTER_WORDS = 1 << 18
+
+
+def likely(df: DataFrame, columns: list[str], wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose columns' values may be a row of ``wanted``: all that are, and others by chance.
+
+    Each row of ``wanted`` sets one bit, and only words with a bit set are broadcast; the fuller they are, the more of the others stay.
+    For joins that would move wide rows and drop most of them.
+    """
+    hashed = lambda names: F.xxhash64(F.lit(11), *[F.col(f"`{c}`") for c in names])
+    word, bits, at = (spare(df, x) for x in ("__word", "__bits", "__at"))
+    place = lambda names: F.pmod(hashed(names), F.lit(FILTER_WORDS))
+    bit = lambda names: F.shiftrightunsigned(hashed(names), 58).cast("int")
+    held = wanted.select(place(wanted.columns).alias(word), bit(wanted.columns).alias(at))
+    held = held.groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, `{at}`)")).alias(bits))
+    met = df.withColumn(word, place(columns)).withColumn(at, bit(columns)).join(F.broadcast(held), word)
+    return met.filter(F.expr(f"shiftrightunsigned(`{bits}`, `{at}`) & 1L") == 1).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def spare(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` does not have yet, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}

@@ -83,6 +83,25 @@ def band_keys(coordinates: np.ndarray, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def odd_sketch(elements: np.ndarray) -> np.ndarray:
+    """A bit for each of 2 to 4 places an element (64 at least): whether the elements that fall there are odd in number.
+
+    Two sketches differ in a place only if the sets differ in an element that falls there, so that the number of places
+    in which they differ is at most the number of elements that only one of the sets has.
+    """
+    places = max(64, 2 << max(0, len(elements) - 1).bit_length())
+    odd = np.bincount((elements & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def fold(sketch: np.ndarray, length: int) -> np.ndarray:
+    """The sketch of the same set, or of a set in each row, over ``length`` words, a power of two that isn't more than it has."""
+    while sketch.shape[-1] > length:
+        half = sketch.shape[-1] // 2
+        sketch = sketch[..., :half] ^ sketch[..., half:]
+    return sketch
+
+
 def fingerprint(elements: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for the whole set."""
     digest = xxhash.xxh3_128_digest(elements.tobytes())

@@ -3,12 +3,17 @@
 1. Every document gives its shingle set's size, fingerprint and band keys; documents with the same set
    become one node, so copies cost no more than their row.
 2. In a bucket (nodes with a band key in common) every node is paired with the least one, not with all.
-   Pairs whose sizes allow the similarity are verified on the full sets, and links give components.
+   Pairs whose sizes and odd sketches allow the similarity are verified on the full sets, and links give components.
 3. Buckets that still hold more than one component are finished exactly: nodes outside the bucket's
-   largest component meet all nodes of the bucket, in blocks of bounded size, and a block gives only
-   the links that join components.
+   largest component meet all nodes of the bucket, in blocks of bounded size: first their sketches, then
+   the full sets of the nodes that found another whose sketch allows it; a block gives only the links that
+   join components.
 4. Components of all links; a document's component is the least doc_id in it.
 
+An odd sketch (``minhash.odd_sketch``) is a sixteenth to a thirty-second of its set and bounds the difference of
+two sets from below, so that it rules out only pairs that the full sets would rule out as well.  Texts and sets are
+moved only if a filter of bounded size (``common.likely``) lets them through; what it lets through too much falls to the join after it.
+
 Nodes that share fewer than ``SHARED`` buckets are alone.  With 64 bands of 6 coordinates a pair at
 similarity 0.8 shares fewer than two with a probability of 9e-8, and at 0.85 of 4e-12.  Sets are
 compared by 64-bit hashes of their shingles.
@@ -32,9 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, discard, map_arrow, parts, pick, texts
+from lodestone.llm.common import cut, discard, likely, map_arrow, parts, pick, texts
 from lodestone.llm.components import components
-from lodestone.llm.minhash import band_keys, fingerprint, shingles, signature
+from lodestone.llm.minhash import band_keys, fingerprint, fold, odd_sketch, shingles, signature
 
 BANDS, ROWS = 64, 6
 #: Buckets that a node must share before it is looked at.
@@ -61,25 +66,37 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
-    """node and its sorted shingle hashes, read again from a document that has the set: the id and the text's hash name it, as ids repeat.
+    """node, its sorted shingle hashes and their sketch, read again from a document that has the set: the id and the text's hash name it, as ids repeat.
 
-    Texts and nodes always meet by a merge join, as the number of nodes follows the corpus.
+    Texts and nodes always meet by a merge join, as the number of nodes follows the corpus.  A task gives a node once; only
+    if rows repeat an id and a text in several tasks are nodes made distinct over all of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in parts(batches):
             found = []
             for node, fa, fb, text in zip(batch.column("node").to_pylist(), batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), texts(batch)):
-                if fingerprint(s := shingles(text, width)) == (fa, fb):
-                    found.append((node, s.view(np.int64)))
+                if node not in seen and fingerprint(s := shingles(text, width)) == (fa, fb):
+                    seen.add(node)
+                    found.append((node, s.view(np.int64), odd_sketch(s).tobytes()))
             if found:
-                nodes, sets = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+                nodes, sets, sketches = zip(*found)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["node", "hashes", "sketch"],
+                )
 
     wanted = needed.select("node", "fa", "fb", F.col("read_id").alias("id"), "text_hash")
     named = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    named = likely(named, ["doc_id", "hash"], wanted.select("id", "text_hash"))
     joined = named.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("text_hash"))).select("node", "fa", "fb", "text")
-    return map_arrow(joined, run, "node long, hashes array<long>").dropDuplicates(["node"])
+    sets = cut(map_arrow(joined, run, "node long, hashes array<long>, sketch binary"), "near-dup-sets")
+    told = sets.agg(F.count("node").alias("rows"), F.countDistinct("node").alias("nodes")).first()
+    if told.rows == told.nodes:
+        return sets
+    once = cut(sets.dropDuplicates(["node"]), "near-dup-sets")
+    discard(sets)
+    return once
 
 
 def similar(n: str, m: str, both, percent: int):
@@ -90,6 +107,44 @@ def sizes_allow(n: str, m: str, percent: int):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def sketches_allow(u: np.ndarray, v: np.ndarray, n, m, percent: int):
+    """Whether sets of n and m shingles can be similar; u holds one sketch or a row for each of several, v one."""
+    size = min(u.shape[-1], v.shape[-1])
+    odd = np.bitwise_count(fold(u, size) ^ fold(v, size)).sum(axis=-1, dtype=np.int64)
+    return (100 + percent) * odd <= (100 - percent) * (n + m)
+
+
+def close_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us, vs = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("left", "right"))
+            ns, ms = (batch.column(c).to_pylist() for c in ("n", "m"))
+            keep = [bool(sketches_allow(*x, percent)) for x in zip(us, vs, ns, ms)]
+            yield batch.select(["node", "center", "n", "m"]).filter(pa.array(keep, pa.bool_()))
+
+    left = pairs.join(sets.select("node", F.col("sketch").alias("left")), "node")
+    both = left.join(sets.select(F.col("node").alias("center"), F.col("sketch").alias("right")), "center")
+    return map_arrow(both.select("node", "center", "n", "m", "left", "right"), run, "node long, center long, n long, m long")
+
+
+def block_near(us: list[np.ndarray], ms: list[np.ndarray], u_sizes: np.ndarray, m_sizes: np.ndarray, u_roots: np.ndarray, m_roots: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of us and of ms, given as sketches, have one of another root on the other side that the sketches allow."""
+    u_near, m_near = np.zeros(len(us), bool), np.zeros(len(ms), bool)
+    lengths = np.array([len(u) for u in us])
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        rows, sizes, roots = np.stack([us[i] for i in at]), u_sizes[at], u_roots[at]
+        for j, m in enumerate(ms):
+            some = np.flatnonzero((roots != m_roots[j]) & (100 * np.minimum(sizes, m_sizes[j]) >= percent * np.maximum(sizes, m_sizes[j])))
+            if len(some):
+                near = some[sketches_allow(rows[some], m, sizes[some], m_sizes[j], percent)]
+                u_near[at[near]] = True
+                m_near[j] |= len(near) > 0
+    return u_near, m_near
+
+
 def block_links(us: list[np.ndarray], ms: list[np.ndarray], u_roots: np.ndarray, m_roots: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Pairs (u, m) of different roots that are similar, one for each join of components."""
     owner = np.repeat(np.arange(len(us)), [len(u) for u in us])
@@ -117,6 +172,53 @@ def block_links(us: list[np.ndarray], ms: list[np.ndarray], u_roots: np.ndarray,
     return links
 
 
+def sides(keys: np.ndarray, outer: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows of both sides of every bucket that has both."""
+    order = np.argsort(keys, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1):
+        us, ms = some[outer[some]], some[~outer[some]]
+        if len(us) and len(ms):
+            yield us, ms
+
+
+def pairs_of(found: list[tuple], *names: str) -> pa.Table:
+    return pa.table([pa.array([int(x[i]) for x in found], pa.int64()) for i in range(len(names))], names=list(names))
+
+
+def in_blocks(open_: DataFrame, held: DataFrame, function, schema: str, what: str) -> DataFrame | None:
+    """``function`` over blocks of buckets, written; None without rows.  Nodes outside a bucket's main component meet all its nodes.
+
+    ``open_`` has key, node, n, root and main; ``held`` has node and what the function gets for it after the
+    arrays of keys, nodes, roots, sides and sizes.
+    """
+    outside = F.col("root") != F.col("main")
+    blocks = lambda n, shingles: F.greatest(F.ceil(n / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+    sizes = open_.groupBy("key").agg(
+        blocks(F.count(F.when(outside, 1)), F.sum(F.when(outside, F.col("n")).otherwise(0))).alias("u_blocks"), blocks(F.count(F.lit(1)), F.sum("n")).alias("m_blocks"), F.count(F.lit(1)).alias("size"),
+    )
+    sizes = cut(sizes, "near-dup-sizes")
+    total = sizes.agg(F.sum("size").alias("n")).first().n
+    if not total:
+        discard(sizes)
+        return None
+    dealt = open_.join(sizes.hint("merge"), "key")
+    u_blocks, m_blocks = F.col("u_blocks"), F.col("m_blocks")
+    place = lambda blocks, salt: F.pmod(F.xxhash64("node", F.lit(salt)), blocks).cast("int")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
+    u_rows = dealt.filter(outside).select("key", "node", "n", "root", F.lit(True).alias("outer"), place(u_blocks, 2).alias("ub"), each(m_blocks).alias("mb"))
+    m_rows = dealt.filter("u_blocks > 0").select("key", "node", "n", "root", F.lit(False).alias("outer"), each(u_blocks).alias("ub"), place(m_blocks, 3).alias("mb"))
+    groups = max(1, -(-total // GROUP))
+    rows = u_rows.union(m_rows).join(held, "node").withColumn("group", F.struct(F.pmod(F.xxhash64("key", "ub", "mb"), F.lit(groups)).alias("g"), F.col("ub"), F.col("mb")))
+    value = next(c for c in held.columns if c != "node")
+
+    def one(table: pa.Table) -> pa.Table:
+        return function(*[table[c].to_numpy(zero_copy_only=False) for c in ("key", "node", "root", "outer", "n")], table[value])
+
+    found = cut(rows.select("group", "key", "node", "root", "outer", "n", value).groupBy("group").applyInArrow(one, schema), what)
+    discard(sizes)
+    return found
+
+
 def remaining_links(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Links between components that share a bucket, found in blocks; None if every bucket is settled.
 
@@ -127,42 +229,36 @@ def remaining_links(members: DataFrame, roots: DataFrame, sets: DataFrame, perce
     once = same.groupBy("a", "b", "size").agg(F.min("key").alias("key")).select("key")
     rooted = members.join(once, "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = cut(rooted, "near-dup-rooted")
-    counts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles"))
-    main = counts.groupBy("key").agg(
-        F.max(F.struct("nodes", "root", "shingles")).alias("most"), F.count(F.lit(1)).alias("roots"), F.sum("nodes").alias("size"), F.sum("shingles").alias("shingles"),
-    )
-    u_size, u_shingles = F.col("size") - F.col("most.nodes"), F.col("shingles") - F.col("most.shingles")
-    blocks = lambda n, shingles: F.greatest(F.ceil(n / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
-    main = main.filter("roots > 1").select("key", F.col("most.root").alias("main"), blocks(u_size, u_shingles).alias("u_blocks"), blocks(F.col("size"), F.col("shingles")).alias("m_blocks"))
-    main = cut(main, "near-dup-main")
+    counts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("nodes"))
+    main = counts.groupBy("key").agg(F.max(F.struct("nodes", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
+    main = cut(main.filter("roots > 1").select("key", F.col("most.root").alias("main")), "near-dup-main")
     open_ = cut(rooted.join(main.hint("merge"), "key"), "near-dup-open")
     discard(rooted, main)
-    total = open_.agg(F.count(F.lit(1)).alias("n")).first().n
-    if not total:
-        return None
-    u_blocks, m_blocks = F.col("u_blocks"), F.col("m_blocks")
-    place = lambda blocks, salt: F.pmod(F.xxhash64("node", F.lit(salt)), blocks).cast("int")
-    each = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
-    u_rows = open_.filter("root <> main").select("key", "node", "root", F.lit(True).alias("outer"), place(u_blocks, 2).alias("ub"), each(m_blocks).alias("mb"))
-    m_rows = open_.select("key", "node", "root", F.lit(False).alias("outer"), each(u_blocks).alias("ub"), place(m_blocks, 3).alias("mb"))
-    groups = max(1, -(-total // GROUP))
-    rows = u_rows.union(m_rows).join(sets, "node").withColumn("group", F.struct(F.pmod(F.xxhash64("key", "ub", "mb"), F.lit(groups)).alias("g"), F.col("ub"), F.col("mb")))
 
-    def one(table: pa.Table) -> pa.Table:
-        schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-        keys, nodes, roots_, outer = (table[c].to_numpy(zero_copy_only=False) for c in ("key", "node", "root", "outer"))
-        hashes, found = table["hashes"], []
-        order = np.argsort(keys, kind="stable")
-        for some in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1):
-            us, ms = some[outer[some]], some[~outer[some]]
-            if len(us) and len(ms):
-                held = {i: np.asarray(hashes[int(i)].values) for i in some}
-                links = block_links([held[i] for i in us], [held[i] for i in ms], roots_[us], roots_[ms], percent)
-                found += [(nodes[us[i]], nodes[ms[j]]) for i, j in links]
-        return pa.table([[int(x[s]) for x in found] for s in (0, 1)], schema=schema)
-
-    found = cut(rows.select("group", "key", "node", "root", "outer", "hashes").groupBy("group").applyInArrow(one, "u long, v long"), "near-dup-rest")
-    discard(open_)
+    def near(keys, nodes, roots_, outer, sizes, sketches) -> pa.Table:
+        found = []
+        for us, ms in sides(keys, outer):
+            held = {i: np.frombuffer(sketches[int(i)].as_py(), np.uint64) for i in (*us, *ms)}
+            allowed = block_near([held[i] for i in us], [held[i] for i in ms], sizes[us], sizes[ms], roots_[us], roots_[ms], percent)
+            found += [(keys[i], nodes[i]) for side, which in zip((us, ms), allowed) for i in side[which]]
+        return pairs_of(sorted(set(found)), "key", "node")
+
+    def linked(keys, nodes, roots_, outer, sizes, hashes) -> pa.Table:
+        found = []
+        for us, ms in sides(keys, outer):
+            held = {i: np.asarray(hashes[int(i)].values) for i in (*us, *ms)}
+            links = block_links([held[i] for i in us], [held[i] for i in ms], roots_[us], roots_[ms], percent)
+            found += [(nodes[us[i]], nodes[ms[j]]) for i, j in links]
+        return pairs_of(found, "u", "v")
+
+    close = in_blocks(open_, sets.select("node", "sketch"), near, "key long, node long", "near-dup-close")
+    if close is None:
+        discard(open_)
+        return None
+    allowed = cut(open_.join(close.distinct(), ["key", "node"]), "near-dup-allowed")
+    discard(open_, close)
+    found = in_blocks(allowed, likely(sets.select("node", "hashes"), ["node"], allowed.select("node")), linked, "u long, v long", "near-dup-rest")
+    discard(allowed)
     return found
 
 
@@ -177,23 +273,32 @@ def near_duplicates(
         F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"),
     )
     nodes = cut(nodes, "near-dup-nodes")
+    slim = cut(signed.drop("row", "bands"), "near-dup-signatures")
+    discard(signed)
+    signed = slim
     banded = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared = cut(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key"), "near-dup-shared")
     all_met = cut(banded.join(shared.hint("merge"), "key"), "near-dup-met")
     busy = all_met.groupBy("node").agg(F.count(F.lit(1)).alias("buckets")).filter(F.col("buckets") >= SHARED).select("node")
     met = cut(all_met.join(busy, "node"), "near-dup-busy")
-    discard(shared, all_met)
+    slim = cut(nodes.drop("bands"), "near-dup-nodes")
+    discard(shared, all_met, nodes)
+    nodes = slim
     centers = met.groupBy("key").agg(F.min("node").alias("center"), F.min_by("n", "node").alias("m"), F.count(F.lit(1)).alias("size"))
     centers = cut(centers.filter("size > 1"), "near-dup-centers")
     members = cut(met.join(centers.hint("merge"), "key"), "near-dup-members")
     discard(met, centers)
     pairs = cut(members.filter("node <> center").filter(sizes_allow("n", "m", percent)).select("node", "center", "n", "m").distinct(), "near-dup-pairs")
-    needed = cut(members.select("node").distinct().join(nodes.drop("bands", "n", "copies", "first_id"), "node"), "near-dup-needed")
-    sets = cut(full_sets(docs, needed, width), "near-dup-sets")
-    left = pairs.join(sets, "node").select("node", "center", "n", "m", F.col("hashes").alias("left"))
-    both = left.join(sets.select(F.col("node").alias("center"), F.col("hashes").alias("right")), "center")
-    links = cut(both.filter(similar("n", "m", F.size(F.array_intersect("left", "right")), percent)).select(F.col("node").alias("u"), F.col("center").alias("v")), "near-dup-links")
+    needed = cut(members.select("node").distinct().join(nodes.drop("n", "copies", "first_id"), "node"), "near-dup-needed")
+    sets = full_sets(docs, needed, width)
+    close = cut(close_pairs(pairs, sets, percent), "near-dup-close")
     discard(pairs, needed)
+    held = likely(sets.select("node", "hashes"), ["node"], close.select("node").union(close.select("center")))
+    # Both joins name the same columns of the same plan, so that Spark moves the sets once.
+    left = close.alias("p").join(held.alias("l"), F.col("p.node") == F.col("l.node")).select("center", "n", "m", F.col("p.node").alias("u"), F.col("l.hashes").alias("left"))
+    both = left.join(held.alias("r"), F.col("center") == F.col("r.node")).select("u", F.col("center").alias("v"), "n", "m", "left", F.col("r.hashes").alias("right"))
+    links = cut(both.filter(similar("n", "m", F.size(F.array_intersect("left", "right")), percent)).select("u", "v"), "near-dup-links")
+    discard(close)
     roots = components(links)
     rest = remaining_links(members.filter("size > 2").select("key", "node", "n"), roots, sets, percent)
     if rest is not None:

@@ -10,10 +10,10 @@ import numpy as np
 import pytest
 
 from lodestone.llm import near_dup
-from lodestone.llm.common import shared_dir
+from lodestone.llm.common import likely, shared_dir
 from lodestone.llm.components import components
-from lodestone.llm.minhash import shingles, signature
-from lodestone.llm.near_dup import near_duplicates
+from lodestone.llm.minhash import odd_sketch, shingles, signature
+from lodestone.llm.near_dup import near_duplicates, sketches_allow
 
 
 def shingle_set(text, width):
@@ -106,3 +106,80 @@ def test_written_tables_are_removed(spark):
     near_duplicates(spark.createDataFrame(corpus(random.Random(3), 20, 10), "doc_id long, text string"), width=2).collect()
     left = {p.name.rsplit("-", 1)[0] for p in set(shared.glob("*")) - before}
     assert left <= {"near-dup-signatures", "near-dup-nodes", "components"}
+
+
+def moved(spark, run):
+    """Bytes that ``run`` writes to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = sum(x.shuffleWrite() for x in executors(store()))
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return sum(x.shuffleWrite() for x in executors(store())) - before
+
+
+def executors(store):
+    found = store.executorList(False)
+    return [type("", (), {"shuffleWrite": found.apply(i).totalShuffleWrite})() for i in range(found.size())]
+
+
+def test_texts_without_a_bucket_in_common_stay_where_they_are(spark):
+    rng = random.Random(21)
+    rows = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(2000))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    df.count()
+    out = []
+    assert moved(spark, lambda: out.extend(near_duplicates(df, width=2).collect())) < 0.5 * sum(len(t) for _, t in rows)
+    assert {r.doc_id: r.component_id for r in out} == {i: i % 1000 for i, _ in rows}
+
+
+def test_families_of_neighbours_that_are_no_links_move_few_sets(spark):
+    """Sets that share buckets, and differ by more than a link allows: only their sketches meet in blocks."""
+    rng = random.Random(22)
+    rows = []
+    for family in range(12):
+        base = [f"{family}-{i}" for i in range(600)]
+        rows += [(len(rows) + i, " ".join(f"x{rng.getrandbits(40):x}" if j % 8 == 0 else w for j, w in enumerate(base))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    df.count()
+    out = []
+    sets = sum(8 * len(shingle_set(t, 2)) for _, t in rows)
+    assert moved(spark, lambda: out.extend(near_duplicates(df, width=2).collect())) < 3 * sets
+    assert all(r.kept for r in out)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_sketches_rule_out_no_similar_sets(percent):
+    rng = np.random.default_rng(percent)
+    ruled_out = 0
+    for _ in range(2000):
+        n = int(rng.integers(1, 600))
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.unique(np.concatenate([a[: int(rng.integers(0, n + 1))], rng.integers(0, 1 << 63, int(rng.integers(1, max(2, n // 4))), dtype=np.uint64)]))
+        a = np.unique(a)
+        both = len(np.intersect1d(a, b))
+        allowed = sketches_allow(odd_sketch(a), odd_sketch(b), len(a), len(b), percent)
+        assert allowed or 100 * both < percent * (len(a) + len(b) - both)
+        ruled_out += not allowed
+    assert ruled_out > 100
+
+
+def test_a_filter_keeps_all_that_are_wanted(spark, monkeypatch):
+    monkeypatch.setattr("lodestone.llm.common.FILTER_WORDS", 64)
+    rows = [(i if i % 7 else None, f"t{i // 2}", i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "id long, text string, __at int")
+    wanted = df.filter("__at % 50 < 2").select("id", "text")
+    left = likely(df, ["id", "text"], wanted)
+    assert left.columns == df.columns
+    found = {tuple(r) for r in left.collect()}
+    assert found <= set(rows) and {r for r in rows if r[2] % 50 < 2} <= found and len(found) < 1500
+    assert likely(df, ["id"], wanted.select("id").limit(0)).count() == 0
+
+
+def test_rows_that_repeat_id_and_text_in_several_partitions(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, base)] * 60 + [(i, f"{base} e{i % 3}") for i in range(30)] + [(None, f"{base} e4")] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    out = near_duplicates(df, width=2).collect()
+    assert len(out) == len(rows) and {r.component_id for r in out} == {0} and sum(r.kept for r in out) == 1
