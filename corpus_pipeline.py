@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, discard, spare, table
+from lodestone.llm.common import cut, discard, flagged, spare, table
 from lodestone.llm.line_dedup import drop_boilerplate
 from lodestone.llm.near_dup import near_duplicates
 from lodestone.llm.packing import pack_documents
@@ -47,7 +47,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     discard(found, first, seen)
     texts = F.xxhash64("text")
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (texts == F.col("text_hash"))
-    left = docs.join(decided.filter(~F.col("stays")), same, "left_anti")
+    gone = decided.filter(~F.col("stays")).select("id", "text_hash")
+    # Only texts that a filter of bounded size takes for one of those that go are moved to meet them.
+    doubt, key, named = (spare(docs, f"__{x}") for x in ("doubt", "key", "hash"))
+    marked = flagged(docs.withColumns({key: F.col("doc_id").cast("long"), named: texts}), [key, named], gone, doubt)
+    left = marked.filter(F.col(doubt)).join(gone, same, "left_anti").unionByName(marked.filter(~F.col(doubt))).drop(doubt, key, named)
     again = decided.filter("stays and rows > 1")
     if again.isEmpty():
         return left

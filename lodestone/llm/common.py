@@ -59,15 +59,15 @@ def discard(*tables: DataFrame) -> None:
             place.getFileSystem(made.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-#: Words of 64 bits in the filter of ``likely``, which bounds what is broadcast.
+#: Words of 64 bits in the filter of ``flagged``, which bounds what is broadcast.
 FILTER_WORDS = 1 << 18
 
 
-def likely(df: DataFrame, columns: list[str], wanted: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose columns' values may be a row of ``wanted``: all that are, and others by chance.
+def flagged(df: DataFrame, columns: list[str], wanted: DataFrame, name: str) -> DataFrame:
+    """``df`` and a boolean ``name``: true if the columns' values are a row of ``wanted``, and by chance for others.
 
-    Each row of ``wanted`` sets one bit, and only words with a bit set are broadcast; the fuller they are, the more of the others stay.
-    For joins that would move wide rows and drop most of them.
+    Each row of ``wanted`` sets one bit, and only words with a bit set are broadcast; the fuller they are, the more others are true.
+    For joins that would move wide rows and find few of them. The columns' types have to be those of ``wanted``.
     """
     hashed = lambda names: F.xxhash64(F.lit(11), *[F.col(f"`{c}`") for c in names])
     word, bits, at = (spare(df, x) for x in ("__word", "__bits", "__at"))
@@ -75,8 +75,15 @@ def likely(df: DataFrame, columns: list[str], wanted: DataFrame) -> DataFrame:
     bit = lambda names: F.shiftrightunsigned(hashed(names), 58).cast("int")
     held = wanted.select(place(wanted.columns).alias(word), bit(wanted.columns).alias(at))
     held = held.groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, `{at}`)")).alias(bits))
-    met = df.withColumn(word, place(columns)).withColumn(at, bit(columns)).join(F.broadcast(held), word)
-    return met.filter(F.expr(f"shiftrightunsigned(`{bits}`, `{at}`) & 1L") == 1).select(*[F.col(f"`{c}`") for c in df.columns])
+    met = df.withColumn(word, place(columns)).withColumn(at, bit(columns)).join(F.broadcast(held), word, "left")
+    found = F.expr(f"coalesce(shiftrightunsigned(`{bits}`, `{at}`) & 1L, 0L)") == 1
+    return met.select(*[F.col(f"`{c}`") for c in df.columns], found.alias(name))
+
+
+def likely(df: DataFrame, columns: list[str], wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose columns' values are a row of ``wanted``, and others by chance."""
+    name = spare(df, "__likely")
+    return flagged(df, columns, wanted, name).filter(F.col(name)).drop(name)
 
 
 def spare(df: DataFrame, name: str) -> str:

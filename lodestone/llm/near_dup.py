@@ -12,7 +12,7 @@
 
 An odd sketch (``minhash.odd_sketch``) is a sixteenth to a thirty-second of its set and bounds the difference of
 two sets from below, so that it rules out only pairs that the full sets would rule out as well.  Texts and sets are
-moved only if a filter of bounded size (``common.likely``) lets them through; what it lets through too much falls to the join after it.
+moved only if a filter of bounded size (``common.flagged``) lets them through; what it lets through too much falls to the join after it.
 
 Nodes that share fewer than ``SHARED`` buckets are alone.  With 64 bands of 6 coordinates a pair at
 similarity 0.8 shares fewer than two with a probability of 9e-8, and at 0.85 of 4e-12.  Sets are

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.test_line_dedup import brute as brute_lines
-from tests.llm.test_near_dup import brute as brute_groups
+from tests.llm.test_near_dup import brute as brute_groups, moved
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,3 +50,18 @@ def test_rows_that_repeat_an_id(spark):
     assert len([r for r in out if r.doc_id == 1]) == 1 and not [r for r in out if r.doc_id == 2]
     left = sorted((str(r.doc_id), str(r.text)) for r in out if r.doc_id != 1)
     assert left == sorted([("3", "quite other words"), ("3", "and a third text"), ("4", "None"), ("4", "None"), ("None", "null id alone")])
+
+
+def test_texts_that_stay_are_not_moved(spark):
+    rng = random.Random(31)
+    rows = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(2000))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(5)] + [(None, rows[9][1] + " end")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(4).cache()
+    docs.count()
+    out, threshold = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert moved(spark, lambda: out.extend(corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())) < 0.5 * sum(len(t) for _, t in rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted(r.doc_id for r in out) == list(range(300))
