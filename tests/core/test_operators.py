@@ -177,6 +177,50 @@ def test_images_meet_their_chunk(spark):
     assert rows(chunking.lines_of_words(words), "line", "text") == [(0, "a b c"), (1, "x")]
 
 
+def test_images_meet_their_chunk_among_many(spark, monkeypatch):
+    """By lists and by trees in several blocks, without a row for each image and chunk."""
+    box = "struct<x0:double,top:double,x1:double,bottom:double>"
+    rng = np.random.default_rng(7)
+    draw = lambda n: [None if i % 17 == 0 else tuple(float(v) for v in rng.integers(0, 12, 4)) for i in range(n)]
+    page = lambda i: None if i % 19 == 0 else int(i % 7)
+    images = [("d", i, page(i) if i % 3 else 20, b) for i, b in enumerate(draw(150))]
+    held = [("d", i, 500 - i, page(i), b) for i, b in enumerate(draw(500))]
+
+    def wanted(image):
+        def key(chunk):
+            same = image[2] == chunk[3] and image[3] == chunk[4]
+            pages = math.inf if image[2] is None or chunk[3] is None else abs(image[2] - chunk[3])
+            far = math.inf
+            if image[3] and chunk[4]:
+                far = sum(((image[3][a] + image[3][b]) / 2 - (chunk[4][a] + chunk[4][b]) / 2) ** 2 for a, b in ((0, 2), (1, 3)))
+            return not same, pages, far, chunk[2]
+        return min(held, key=key)[1]
+
+    i = spark.createDataFrame(images, f"doc_id string, image_id int, page int, bbox {box}")
+    c = spark.createDataFrame(held, f"doc_id string, chunk_id int, chunk_index int, page_num int, bbox {box}")
+    want = sorted((x[1], wanted(x)) for x in images)
+    assert rows(chunking.nearest_chunk(i, c), "image_id", "chunk_id") == want
+    monkeypatch.setattr(chunking, "FEW", 4)
+    monkeypatch.setattr(chunking, "BLOCK", 30)
+    assert rows(chunking.nearest_chunk(i, c), "image_id", "chunk_id") == want
+
+
+def test_nearest_chunk_makes_no_pairs(spark):
+    """4,000 images on a page of 20,000 chunks: the joins make a row for each image, not 80 million."""
+    box = lambda x: F.struct(x.alias("x0"), x.alias("top"), x.alias("x1"), x.alias("bottom"))
+    i = spark.range(4000).select(F.lit("d").alias("doc_id"), F.col("id").alias("image_id"), F.lit(1).alias("page"), box(F.col("id") * 5.0).alias("bbox"))
+    c = spark.range(20000).select(F.lit("d").alias("doc_id"), F.col("id").alias("chunk_id"), F.col("id").alias("chunk_index"), F.lit(2).alias("page_num"), box(F.col("id") + 0.25).alias("bbox"))
+    found = chunking.nearest_chunk(i, c)
+    assert found.filter("chunk_id <> image_id * 5").count() == 0 and found.count() == 4000
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+
+
+def test_words_at_one_place_keep_their_order(spark):
+    words = [("d", 1, 5.0, 10.0, t, n) for n, t in enumerate("zebra yak ape cat".split())]
+    df = spark.createDataFrame(words[::-1], "doc_id string, page int, x0 double, top double, text string, pos int").repartition(4)
+    assert rows(chunking.lines_of_words(df), "text") == [("zebra yak ape cat",)]
+
+
 def test_store(spark, tmp_path):
     table = store.Table(spark, str(tmp_path / "chunks"), "chunk_id string, collection string, n int", ("chunk_id",), "collection")
     assert table.read().count() == 0
