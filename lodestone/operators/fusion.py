@@ -31,12 +31,14 @@ def rrf(lists: DataFrame, *, k: int = 60, weights: list[float] | None = None, to
 
 
 def fuse_or_pass(lists: DataFrame, *, k: int = 60) -> DataFrame:
-    """RRF for queries with more than one list; a query with one keeps that list's own scores."""
-    n = lists.groupBy("query_id").agg(F.count_distinct("list_idx").alias("n_lists"))
-    counted = lists.join(n, "query_id")
-    one = counted.filter("n_lists = 1").select("query_id", "chunk_id", "score", "rank", F.lit("raw").alias("score_kind"))
-    more = rrf(counted.filter("n_lists > 1"), k=k).withColumn("score_kind", F.lit("rrf"))
-    return one.unionByName(more)
+    """RRF for queries with more than one list; a query with one keeps that list's own scores.  The lists are read once."""
+    alone = F.col("n_lists") == 1
+    counted = lists.withColumn("n_lists", F.size(F.collect_set("list_idx").over(W.partitionBy("query_id"))))
+    rows = counted.groupBy("query_id", "chunk_id", "n_lists", F.when(alone, F.col("rank")).alias("own")).agg(F.sum(rrf_score(F.col("rank"), k)).alias("fused"), F.max("score").alias("raw"))
+    scored = rows.withColumn("score", F.when(alone, F.col("raw")).otherwise(F.col("fused")))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), F.col("chunk_id")))
+    kind = F.when(alone, "raw").otherwise("rrf").alias("score_kind")
+    return scored.select("query_id", "chunk_id", "score", F.when(alone, F.col("own")).otherwise(place).alias("rank"), kind)
 
 
 def interleave(lists: DataFrame, *, top_k: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from lodestone.operators import dense as dense_search
 from lodestone.operators.filters import drop_references, matches, process_queries
 from lodestone.operators.fusion import fuse_or_pass, together
-from lodestone.operators.index import Index, bm25, ranked
+from lodestone.operators.index import Index, bm25, ranked, sent
 
 LOG = logging.getLogger(__name__)
 
@@ -37,9 +37,11 @@ def search(
         lists.append(dense_search.topk(vectors, queries.select("query_id", "vector"), k=dense_k))
     if index is not None:
         lists.append(bm25(index, asked.select("query_id", "terms"), k=sparse_k))
-    fused = fuse_or_pass(together(*lists), k=rrf_k).join(chunks.select("chunk_id", "text", "source_path", "doc_type", "tags"), "chunk_id")
+    hits = sent(queries, fuse_or_pass(together(*lists), k=rrf_k), dense_k + sparse_k)
+    fused = chunks.select("chunk_id", "text", "source_path", "doc_type", "tags").join(hits, "chunk_id")
     if without_references:
-        fused = drop_references(fused)
+        # a condition on a hit's text, as Spark would look for entries in every chunk, before the join, if it were one on the text alone
+        fused = drop_references(fused.withColumn("__hit_text", F.when(F.col("rank") >= 1, F.col("text"))), "__hit_text").drop("__hit_text")
     cut = ranked(fused.drop("rank"), top_k, F.desc(F.round("score", 12)), F.col("chunk_id"))
     wanted = asked.select("query_id", F.col("doc_type").alias("want_type"), F.col("source_path").alias("want_source"), F.col("tags").alias("want_tags"))
     c = F.col

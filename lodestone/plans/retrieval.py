@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.stopwords import DEFAULT, ENGLISH
 from lodestone.functions.text import WORD
 from lodestone.operators import dense, fusion, hybrid
-from lodestone.operators.index import bm25, build, remove_prefixes, term_rows, top_terms
+from lodestone.operators.index import bm25, build, remove_prefixes, term_counts, top_terms
 from lodestone.plans import tables as t
 
 
@@ -74,7 +74,7 @@ def q_term_stats(spark, d):
 
 
 def q_stemmed_terms(spark, d):
-    return term_rows(t.chunks(spark, d)).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return term_counts(t.chunks(spark, d))
 
 
 def q_top_terms(spark, d):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import keywords
-from lodestone.operators.index import Index, build
+from lodestone.operators.index import Index, build, repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +20,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> Index:
-    """Unstemmed, so that SQL can say the same; kept, as queries read its tables several times."""
-    return build(chunks(spark, sf_dir), stem=False).kept()
+    """Unstemmed, so that SQL can say the same; by rows, unless ids repeat, as statistics and searches then need no postings."""
+    held = chunks(spark, sf_dir)
+    return build(held, stem=False).kept() if repeats(held) else build(held, stem=False, unique=True)
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:

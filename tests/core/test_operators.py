@@ -41,6 +41,28 @@ def test_common_terms_have_negative_idf(spark):
     assert found.count() == 3 and found.first().score < 0
 
 
+def test_index_by_rows_is_the_same(spark, chunks):
+    """Without a shuffle of postings for the statistics, and one for a search."""
+    plain, made = index.build(chunks, stem=False), index.build(chunks, stem=False, unique=True)
+    assert made.corpus_stats().collect() == plain.corpus_stats().collect()
+    for a, b, names in ((made.lengths, plain.lengths, ("chunk_id", "dl", "unique_terms")), (made.term_stats(), plain.term_stats(), ("term", "df", "idf"))):
+        assert rows(a, *names) == rows(b, *names)
+    asked = spark.createDataFrame([("q", ["neural", "cat", "learn"]), ("r", ["deep"]), ("s", ["nothing"])], "query_id string, terms array<string>")
+    found = [[(x, round(y, 9), *z) for x, y, *z in rows(index.bm25(i, asked), "chunk_id", "score", "query_id", "rank")] for i in (made, plain)]
+    assert found[0] == found[1] and len(found[0]) == 5
+    assert "hashpartitioning(chunk_id" not in made.corpus_stats()._jdf.queryExecution().toString()
+    assert not index.repeats(chunks) and index.repeats(chunks.unionByName(chunks.limit(1)))
+    assert rows(index.term_counts(chunks), "term", "n") == rows(index.term_rows(chunks).groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term", "n")
+
+
+def test_search_moves_no_texts(spark, chunks):
+    """Hits go to the chunks, and only hits are read for entries of a bibliography."""
+    asked = spark.createDataFrame([("q", "neural cats")], "query_id string, query string")
+    plan = hybrid.search(asked, chunks, index.build(chunks, stem=False, unique=True), None)._jdf.queryExecution().optimizedPlan().toString()
+    before = plan.split("strategy=broadcast")[0]
+    assert "strategy=broadcast" in plan and "rank" in next(x for x in before.splitlines() if "Springer" in x)
+
+
 def test_add_and_remove_are_inverse(spark, chunks):
     whole = index.build(chunks)
     part = index.build(chunks.filter("chunk_id like 'a%'"))
@@ -221,6 +243,17 @@ def test_words_at_one_place_keep_their_order(spark):
     assert rows(chunking.lines_of_words(df), "text") == [("zebra yak ape cat",)]
 
 
+def test_windows_make_their_words_once(spark):
+    from lodestone.functions.text import normal_words
+
+    df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(100)),), ("a b c",), (None,)], "text string")
+    made = df.select(catalog.windows(normal_words(F.col("text"))).alias("w"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("[^a-z0-9]+") == 1
+    found = [r.w for r in made.collect()]
+    assert found[0][:2] == [" ".join(f"w{i}" for i in range(10, 10 + n)) for n in (8, 6)] and len(found[0]) == 10
+    assert found[1:] == [[], []]
+
+
 def test_store(spark, tmp_path):
     table = store.Table(spark, str(tmp_path / "chunks"), "chunk_id string, collection string, n int", ("chunk_id",), "collection")
     assert table.read().count() == 0
