@@ -97,13 +97,15 @@ POSITIONS, LENGTHS = (0.1, 0.3, 0.5, 0.7, 0.9), (8, 6)
 
 
 def windows(words: Column) -> Column:
-    """Feature windows of a page: runs of words at fixed relative places."""
-    n = F.size(words)
-    start = lambda at: F.least(F.floor(n * at), F.greatest(n - 8, F.lit(0))).cast("int")
-    found = F.array(*[F.slice(words, start(at) + 1, length) for at in POSITIONS for length in LENGTHS])
-    sizes = F.array(*[F.lit(length) for _ in POSITIONS for length in LENGTHS])
-    whole = F.filter(F.zip_with(found, sizes, lambda w, k: F.when(F.size(w) == k, F.array_join(w, " "))), lambda w: w.isNotNull())
-    return whole
+    """Feature windows of a page: runs of words at fixed relative places.  The words are made once, as a lambda's variable."""
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        start = lambda at: F.least(F.floor(n * at), F.greatest(n - 8, F.lit(0))).cast("int")
+        found = F.array(*[F.slice(w, start(at) + 1, length) for at in POSITIONS for length in LENGTHS])
+        sizes = F.array(*[F.lit(length) for _ in POSITIONS for length in LENGTHS])
+        return F.filter(F.zip_with(found, sizes, lambda x, k: F.when(F.size(x) == k, F.array_join(x, " "))), lambda x: x.isNotNull())
+
+    return F.get(F.transform(F.array(words), of), F.lit(0))
 
 
 def page_verdicts(pages: DataFrame, library: DataFrame, *, words_least: int = 30, alpha_least: float = 0.2) -> DataFrame:
